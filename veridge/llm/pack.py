@@ -19,37 +19,77 @@ WINDOWS = 64
 LEAST_CUT = 32
 MERGED = 64
 END = 2
-_CACHE = 400_000
+#: Words that are remembered, and marks that may end a word of letters.
+_CACHE = 600_000
+_TAIL = ".,;:!?)]*#%&$\""
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, part long, window long, offset long, full boolean"
 
 
 class WordTokens:
     """Ids of whole texts by a tokenizer of which no token crosses white space, remembered word by word.
 
-    Words that aren't known yet are encoded together. Ids are little-endian 16-bit integers (32-bit if the vocabulary is larger).
+    A word of letters, and one with a tail of ``_TAIL`` marks, is encoded as its lower-cased letters and its tail, each one token sequence that ends with a token of ``suffix``; many letter words are encoded as one text and cut after those tokens. Other words are encoded by themselves. What is remembered is forgotten when it gets large, which costs time only.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, suffix: str = "</w>") -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        vocab = self.tok.get_vocab()
+        self.kind = np.dtype("<u2" if len(vocab) <= 1 << 16 else "<u4")
+        self.last = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+
+    def _single(self, words: list[str], into: dict[str, bytes]) -> None:
+        for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            into[w] = np.array(e.ids, dtype=self.kind).tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        parts, odd, cores, tails = [], [], set(), set()
+        for w in new:
+            core = w.rstrip(_TAIL)
+            low = core.lower()
+            if low.isalpha() and (core.isascii() or "\u03a3" not in core):
+                parts.append((w, low, w[len(core) :]))
+                if low not in self.cores:
+                    cores.add(low)
+                if len(core) < len(w) and w[len(core) :] not in self.cores:
+                    tails.add(w[len(core) :])
+            else:
+                odd.append(w)
+        todo = list(cores)
+        groups = [todo[i : i + 128] for i in range(0, len(todo), 128)]
+        for g, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=self.kind)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(g):  # not one sequence a word after all
+                self._single(g, self.cores)
+                continue
+            data, size, at = ids.tobytes(), self.kind.itemsize, 0
+            for w, end in zip(g, (ends * size).tolist(), strict=True):
+                self.cores[w] = data[at:end]
+                at = end
+        self._single(list(tails), self.cores)
+        self._single(odd, self.known)
+        for w, core, tail in parts:
+            self.known[w] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         words = [t.split() for t in texts]
-        new = list(set(itertools.chain.from_iterable(words)) - self.known.keys())
-        if len(self.known) + len(new) > _CACHE:
-            self.known.clear()
+        known = self.known
+        new = [w for w in set(itertools.chain.from_iterable(words)) if w not in known]
+        if len(self.cores) > _CACHE:
+            self.cores.clear()
+        if len(known) + len(new) > _CACHE:
+            known.clear()
             new = list(set(itertools.chain.from_iterable(words)))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype=self.kind).tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, w)), dtype=self.kind) for w in words]
+        self._learn(new)
+        return [np.frombuffer(b"".join(map(known.__getitem__, w)), dtype=self.kind) for w in words]
 
 
 class _Packer:
