@@ -134,12 +134,36 @@ def _places(kind: int, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[
     return [(0, int(d), kind, p.tobytes()) for d, p in zip(doc[np.append(0, cuts)], np.split(pairs, cuts), strict=True)]
 
 
+#: Fields as they travel, one after the other: columns in order of document and place compress well. A string has under 2^31 bytes, a run under 2^16 windows.
+_SENT = {"key": "<u8", "anchor": "<u8", "doc": "<i8", "lo": "<u4", "hi": "<u2", "many": "u1"}
+
+
+def _packed(entries: np.ndarray) -> bytes:
+    get = lambda f: entries["hi"] - entries["lo"] if f == "hi" else entries[f]
+    return b"".join(get(f).astype(_SENT[f]).tobytes() for f in _SENT if f in entries.dtype.names)
+
+
+def _unpacked(blobs, kind: np.dtype) -> np.ndarray:
+    fields = [(f, np.dtype(t)) for f, t in _SENT.items() if f in kind.names]
+    size, out = sum(t.itemsize for _, t in fields), []
+    for b in blobs:
+        n, at = len(b) // size, 0
+        entries = np.empty(n, kind)
+        for f, t in fields:
+            entries[f] = np.frombuffer(b, t, n, at)
+            at += n * t.itemsize
+        if "hi" in kind.names:
+            entries["hi"] += entries["lo"]
+        out.append(entries)
+    return np.concatenate(out)
+
+
 def _entries(batch: np.ndarray, by: np.ndarray, shards: int) -> list[tuple]:
     shard = (by >> np.uint64(20)) % np.uint64(shards)
-    order = np.argsort(shard, kind="stable")
+    order = np.lexsort((batch["lo"], batch["doc"], shard))
     batch, shard = batch[order], shard[order]
     cuts = np.flatnonzero(np.diff(shard)) + 1
-    return [(int(s), None, ENTRY, p.tobytes()) for s, p in zip(shard[np.append(0, cuts)], np.split(batch, cuts), strict=True)] if len(batch) else []
+    return [(int(s), None, ENTRY, _packed(p)) for s, p in zip(shard[np.append(0, cuts)], np.split(batch, cuts), strict=True)] if len(batch) else []
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -219,7 +243,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataF
             entry = pdf["kind"] == ENTRY
             yield pdf[~entry]
             if entry.any():
-                later = index.add(np.frombuffer(b"".join(pdf["blob"][entry]), SPAN))
+                later = index.add(_unpacked(pdf["blob"][entry], SPAN))
                 yield _frame(_places(REPEAT, later["doc"], later["lo"], later["hi"]))
         own = index.owners()
         own = own[_many(own) & (own["many"] == 0)]
@@ -246,7 +270,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataF
             entry = pdf["kind"] == ENTRY
             yield pdf[~entry]
             if entry.any():
-                later = index.add(np.frombuffer(b"".join(pdf["blob"][entry]), WINDOW))
+                later = index.add(_unpacked(pdf["blob"][entry], WINDOW))
                 yield _frame(_places(REPEAT, later["doc"], later["lo"], later["lo"]))
 
     # Rows that only pass through a shard are dealt by document.
