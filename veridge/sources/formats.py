@@ -35,20 +35,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _slab(spark: SparkSession, path: str, first: int, n: int, kind: str, name: str) -> DataFrame:
-    """``(eid, name)``: n numbers from byte ``first``, read as fixed-length records, which Spark splits between tasks."""
-    size = np.dtype(kind).itemsize
-    records = spark.sparkContext.binaryRecords(path, size) if first % size == 0 else None
-    if records is None:
-        raise ValueError("numbers don't start at a multiple of their size")
-    rows = records.zipWithIndex().filter(lambda r: first // size <= r[1] < first // size + n).map(lambda r: (r[1] - first // size, bytearray(r[0])))
-    df = spark.createDataFrame(rows, "eid long, b binary")
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            values = np.frombuffer(b"".join(pdf["b"]), dtype=kind)
-            yield pd.DataFrame({"eid": pdf["eid"], name: values.astype("float64" if kind[1] == "f" else "int64")})
-
-    return df.mapInPandas(decode, f"eid long, {name} {'double' if kind[1] == 'f' else 'long'}")
+    """``(eid, name)``: n numbers from byte ``first``, read as four-byte words, which Spark splits between tasks; eight-byte numbers are two words."""
+    import struct
+
+    words, start = np.dtype(kind).itemsize // 4, first // 4
+    code = "<f" if kind[1] == "f" else "<I"
+    rows = spark.sparkContext.binaryRecords(path, 4).zipWithIndex().filter(lambda r: start <= r[1] < start + n * words).map(lambda r: (r[1] - start, struct.unpack(code, r[0])[0]))
+    df = spark.createDataFrame(rows, f"word long, x {'double' if code == '<f' else 'long'}")
+    if words == 1:
+        return df.select(F.col("word").alias("eid"), F.col("x").alias(name))
+    part = F.when(F.col("word") % 2 == 1, F.shiftleft("x", 32)).otherwise(F.col("x"))
+    return df.groupBy(F.floor(F.col("word") / 2).alias("eid")).agg(F.sum(part).alias(name))
 
 
 def _from_slabs(index: DataFrame, targets: DataFrame, n: int, m: int, weights: DataFrame | None, symmetric: bool) -> Graph:
