@@ -138,6 +138,15 @@ def clique_histogram(graph: Graph, core: DataFrame | None = None) -> DataFrame:
     return near.groupBy("root").cogroup(inner.groupBy("root")).applyInPandas(count, "size long, n long").groupBy("size").agg(F.sum("n").alias("n"))
 
 
+def _searcher(least: int):
+    def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        ids, adj, _ = _local(left, right)
+        found = largest_clique(adj, least) if len(ids) > least else []
+        return pd.DataFrame([(len(found) + 1, [int(key[0]), *sorted(ids[i] for i in found)])] if found else [], columns=["size", "members"])
+
+    return search
+
+
 def maximum_clique(graph: Graph, waves: int = 4, core: DataFrame | None = None) -> DataFrame:
     """``(size, members)``: a largest clique of a symmetric graph. Roots of high coreness search first; what they find bounds the later waves, whose roots must have the coreness and the later neighbours for more."""
     spark = graph.edges.sparkSession
@@ -156,13 +165,8 @@ def maximum_clique(graph: Graph, waves: int = 4, core: DataFrame | None = None)
         roots = rank.where((F.col("coreness") >= max(low, len(best))) & (F.col("coreness") < high)).select(F.col("rank").alias("root"))
         high, least = low, max(len(best) - 1, 0)
 
-        def search(key, left: pd.DataFrame, right: pd.DataFrame, least: int = least) -> pd.DataFrame:
-            ids, adj, _ = _local(left, right)
-            found = largest_clique(adj, least) if len(ids) > least else []
-            return pd.DataFrame([(len(found) + 1, [int(key[0]), *sorted(ids[i] for i in found)])] if found else [], columns=["size", "members"])
-
         own, ins = near.join(roots, "root", "left_semi"), inner.join(roots, "root", "left_semi")
-        found = own.groupBy("root").cogroup(ins.groupBy("root")).applyInPandas(search, "size long, members array<long>")
+        found = own.groupBy("root").cogroup(ins.groupBy("root")).applyInPandas(_searcher(least), "size long, members array<long>")
         got = found.orderBy(F.col("size").desc(), "members").limit(1).collect()
         if got and got[0]["size"] > len(best):
             best = got[0]["members"]
