@@ -2,7 +2,7 @@
 
 A string of ``length`` bytes is judged by the suffix that starts with it. Suffixes enter an index in batches; a batch is sorted, scanned against the levels that the index has, and becomes a level itself; levels of like size merge, so that there are logarithmically many. Suffixes are ordered by 64-bit hashes of their first ``length`` bytes: only equality matters, and hashes keep the arrays narrow. Index shards are dealt by hash.
 
-Two things keep the volume near that of the repeats. First, suffixes are handled in runs: each window of ``length`` bytes has an anchor, its leftmost smallest hash of ``K`` bytes, and consecutive windows with one anchor form a run, whose span is all their bytes. Equal windows have equal anchors, so a run whose anchor occurs once is unique, and a run whose span came before is a repeat as a whole. Only runs that share their anchor but not their span are opened into single windows, which a second index compares. Second, every map task indexes its own batches first and sends on at most one entry of a span or a window, so a string that a third of all documents share reaches a shard once per batch.
+Two things keep the volume near that of the repeats. First, suffixes are handled in runs: each window of ``length`` bytes has an anchor, its leftmost smallest hash of ``K`` bytes, and consecutive windows with one anchor form a run, whose span is all their bytes. Equal windows have equal anchors, so a run whose anchor occurs once is unique, and a run whose span came before is a repeat as a whole. Only runs that share their anchor but not their span are opened into single windows, which a second index compares. Second, every map task indexes its own batches first and sends on at most one entry of a span or a window, so a string that a third of all documents share reaches a shard once per batch. Windows are dealt by their smallest and largest gram, not by their own hash, so that neighbours meet in one shard and their places leave it as ranges; a frequent anchor in many contexts still spreads by the largest gram.
 """
 
 from __future__ import annotations
@@ -57,25 +57,29 @@ class Hasher:
         h = (sums[b] - sums[a]) * self.down[a]
         return (h ^ (h >> np.uint64(32))) * self.mul[15, 0]
 
+    def slide(self, grams: np.ndarray, pick: np.ufunc) -> np.ndarray:
+        """The smallest or largest of each window's values."""
+        out, n = grams, 1
+        while 2 * n <= self.w:
+            out, n = pick(out[:-n], out[n:]), 2 * n
+        return pick(out[: len(grams) - self.w + 1], out[self.w - n :]) if n < self.w else out
+
     def runs(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
         """Anchor hash, span hash, first and last window of each run."""
         g = self.grams(x)
-        low = (g & ~_POS) | np.arange(len(g), dtype=np.uint64)
-        n = 1
-        while 2 * n <= self.w:
-            low, n = np.minimum(low[:-n], low[n:]), 2 * n
-        if n < self.w:
-            low = np.minimum(low[: len(g) - self.w + 1], low[self.w - n :])
+        low = self.slide((g & ~_POS) | np.arange(len(g), dtype=np.uint64), np.minimum)
         at = (low & _POS).astype(np.int64)
         lo = np.flatnonzero(np.diff(at, prepend=-1))
         hi = np.append(lo[1:] - 1, len(at) - 1)
         span = self.between(self.sums(g), lo, hi + self.w) + (at[lo] - lo).astype(np.uint64) * self.mul[15, 1] + (hi - lo).astype(np.uint64) * self.mul[14, 0]
         return g[at[lo]], span, lo, hi
 
-    def windows(self, x: np.ndarray) -> np.ndarray:
-        s = self.sums(self.grams(x))
+    def windows(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of each window, and one of its smallest and largest gram, which neighbours mostly share."""
+        g = self.grams(x)
         p = np.arange(len(x) - self.length + 1)
-        return self.between(s, p, p + self.w)
+        deal = (self.slide(g, np.minimum) * self.mul[13, 0] ^ self.slide(g, np.maximum)) * self.mul[13, 1]
+        return self.between(self.sums(g), p, p + self.w), deal
 
 
 class Levels:
@@ -119,6 +123,8 @@ class Levels:
 
 SPAN = np.dtype([("key", "<u8"), ("doc", "<i8"), ("lo", "<i8"), ("hi", "<i8"), ("anchor", "<u8"), ("many", "<i8")])
 WINDOW = np.dtype([("key", "<u8"), ("doc", "<i8"), ("lo", "<i8")])
+#: With what names the window's shard, before it is sent there.
+DEALT = np.dtype([*WINDOW.descr, ("deal", "<u8")])
 
 
 def _places(kind: int, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple]:
@@ -211,7 +217,6 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataF
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = 8 * n
     hasher: list[Hasher] = []
 
     def tools() -> Hasher:
@@ -235,7 +240,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataF
         first["many"] = _many(first)
         several = first[first["many"] > 0]
         send = np.concatenate([first[first["many"] == 0], several[np.append(True, several["anchor"][1:] != several["anchor"][:-1])] if len(several) else several])
-        return _places(REPEAT, later["doc"], later["lo"], later["hi"]) + _places(OPEN, several["doc"], several["lo"], several["hi"]) + _entries(send, send["anchor"], shards)
+        return _places(REPEAT, later["doc"], later["lo"], later["hi"]) + _places(OPEN, several["doc"], several["lo"], several["hi"]) + _entries(send, send["anchor"], n)
 
     def spans_judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = Levels(SPAN)
@@ -253,16 +258,16 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataF
         h, x = tools(), np.frombuffer(row.data, np.uint8)
         for lo, hi in _ranges(row.blobs):
             for at in range(lo, hi + 1, SEGMENT):
-                keys = h.windows(x[at : min(at + SEGMENT, hi + 1) + length - 1])
-                out = np.zeros(len(keys), WINDOW)
-                out["key"], out["doc"], out["lo"] = keys, row.uid, np.arange(at, at + len(keys))
+                keys, deal = h.windows(x[at : min(at + SEGMENT, hi + 1) + length - 1])
+                out = np.zeros(len(keys), DEALT)
+                out["key"], out["doc"], out["lo"], out["deal"] = keys, row.uid, np.arange(at, at + len(keys)), deal
                 yield out
 
     def windows_out(batch: np.ndarray) -> list[tuple]:
-        own = Levels(WINDOW)
+        own = Levels(DEALT)
         later = own.add(batch)
         first = own.owners()
-        return _places(REPEAT, later["doc"], later["lo"], later["lo"]) + _entries(first, first["key"], shards)
+        return _places(REPEAT, later["doc"], later["lo"], later["lo"]) + _entries(first, first["deal"], n)
 
     def windows_judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = Levels(WINDOW)
@@ -273,8 +278,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataF
                 later = index.add(_unpacked(pdf["blob"][entry], WINDOW))
                 yield _frame(_places(REPEAT, later["doc"], later["lo"], later["lo"]))
 
-    # Rows that only pass through a shard are dealt by document.
-    dealt = lambda df: df.repartition(n, F.when(F.col("kind") == ENTRY, F.col("shard")).otherwise(F.col("uid") + shards))
+    # A shard is a partition; rows that only pass through are dealt by document.
+    dealt = lambda df: df.repartitionById(n, F.when(F.col("kind") == ENTRY, F.col("shard")).otherwise(F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int")))
     spans = written(dealt(docs.mapInPandas(_batched(spans_of, spans_out), ROWS)).mapInPandas(spans_judged, ROWS))
     opened = spans.where(F.col("kind") == OPEN).groupBy("uid").agg(F.collect_list("blob").alias("blobs"))
     windows = docs.join(opened, "uid").select("uid", "data", "blobs").mapInPandas(_batched(windows_of, windows_out), ROWS)
