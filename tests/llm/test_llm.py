@@ -198,6 +198,20 @@ def test_suffix(spark, docs, odd, none):
     assert suffix.remove_repeats(odd).count() == 13 and suffix.remove_repeats(none).count() == 0
 
 
+def test_suffix_across_batches(spark):
+    """Two batches: an owner learns that a batch with an equal span has other spans of the anchor."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for g in range(30):
+        base = "".join(map(chr, rng.integers(97, 123, 300)))
+        at = int(rng.integers(100, 200))
+        rows += [(g, base), (1000 + 2 * g, base[:at] + "#" + base[at + 1 :]), (1001 + 2 * g, base)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionById(2, (F.col("doc_id") >= 1000).cast("int"))
+    want = brute_repeats(sorted(rows))
+    for r in suffix.remove_repeats(df).collect():
+        assert (sum(s["end"] - s["start"] for s in r["spans"]), bytes(r["kept"])) == want[r["doc_id"]], r["doc_id"]
+
+
 def test_language(spark, docs, odd, none):
     got = language.identify(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).alias("g")
     r = got.join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").alias("d"), "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()

@@ -23,6 +23,8 @@ SEGMENT, BATCH = 1 << 18, 1 << 22
 _POS = np.uint64((1 << 24) - 1)
 ROWS = "shard int, uid long, kind int, blob binary"
 ENTRY, REPEAT, OPEN = 0, 1, 2
+#: Bits of ``many``: a span's own batch had another span of its anchor and opened both; a batch with an equal span did.
+OWN, OTHERS = 1, 2
 
 
 class Hasher:
@@ -85,7 +87,7 @@ class Hasher:
 class Levels:
     """Sorted runs of entries (key, document, place, and more), one owner for each key: the earliest.
 
-    ``add`` returns the places of entries that turned out to have an earlier equal: those of the batch, and owners that the batch displaces.
+    ``add`` returns the places of entries that turned out to have an earlier equal: those of the batch, and owners that the batch displaces. A word ``many`` of an entry outlives it: the owner's gets ``OTHERS``.
     """
 
     def __init__(self, kind: np.dtype) -> None:
@@ -98,7 +100,11 @@ class Levels:
     def add(self, batch: np.ndarray) -> np.ndarray:
         batch = batch[np.lexsort((batch["lo"], batch["doc"], batch["key"]))]
         first = np.append(True, batch["key"][1:] != batch["key"][:-1]) if len(batch) else np.zeros(0, bool)
+        words = "many" in self.kind.names and len(batch)
+        said = np.bitwise_or.reduceat(batch["many"], np.flatnonzero(first)) if words else None
         later, batch = [batch[~first]], batch[first]
+        if words:
+            batch["many"] |= np.where(said > 0, OTHERS, 0)
         for run in self.runs:
             at = np.searchsorted(run["key"], batch["key"])
             at[at == len(run)] = 0
@@ -107,7 +113,10 @@ class Levels:
                 mine, at = batch[same], at[same]
                 wins = self._earlier(mine, run[at])
                 later += [mine[~wins], run[at[wins]]]
+                said = mine["many"] | run["many"][at] if words else None
                 run[at[wins]] = mine[wins]
+                if words:
+                    run["many"][at] |= np.where(said > 0, OTHERS, 0)
                 batch = batch[~same]
         if len(batch):
             self.runs.append(batch.copy())
@@ -251,7 +260,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataF
                 later = index.add(_unpacked(pdf["blob"][entry], SPAN))
                 yield _frame(_places(REPEAT, later["doc"], later["lo"], later["hi"]))
         own = index.owners()
-        own = own[_many(own) & (own["many"] == 0)]
+        own = own[_many(own) & (own["many"] & OWN == 0)]
         yield _frame(_places(OPEN, own["doc"], own["lo"], own["hi"]))
 
     def windows_of(row) -> Iterator[np.ndarray]:
