@@ -175,6 +175,18 @@ def test_mixing(odd, docs, none):
     assert mixed.select(F.sum(mixing.words(F.col("text")))).first()[0] == sum(r["taken"] for r in mixing.mix(docs).collect())
 
 
+def test_mixing_cap(spark):
+    """Sources with many long documents whose rate is the cap: none gets a copy more."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "w " * int(min(600, rng.lognormal(3.5, 1.2)) + 1), f"s{i % 60:02d}") for i in range(3600)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(r["copies"] <= 2 and r["taken"] <= 2 * r["size"] for r in got)
+    by = {}
+    for r in got:
+        by.setdefault((rows[r["doc_id"]][2], r["target"]), []).append(r["taken"])
+    assert all(abs(sum(taken) - t) <= 1 for (_, t), taken in by.items())
+
+
 def brute_repeats(rows):
     seen, out = set(), {}
     for i, t in rows:

@@ -89,14 +89,14 @@ def _spread(params: DataFrame, docs: DataFrame, most: float) -> tuple[DataFrame,
 def rounding(docs: DataFrame, params: DataFrame, most: float = MOST) -> DataFrame:
     """``params`` with, for each source, which documents round up, so that the tokens meet the target to a document.
 
-    Rates round up where the draw is under the rate's fraction, moved by what the source's sum needs: two histograms of the draws, the second within one bin of the first, find the limit; the first document that it leaves out gives the last words as a part.
+    Rates round up where the draw is under the rate's fraction, moved by what the source's sum needs, and one copy more stays within ``most``: two histograms of the draws, the second within one bin of the first, find the limit; the first document that it leaves out gives the last words as a part.
     """
     whole = _spread(params, docs, most)[1]
 
     def level(params: DataFrame, lo: Column, width: float) -> DataFrame:
         joined, whole, v = _spread(params, docs, most)
         bins = joined.withColumn("b", F.floor((v - lo) / width * BINS).cast("long"))
-        return bins.groupBy("source", "b").agg(F.sum("size").alias("tokens"), F.sum(whole * F.col("size")).alias("base"))
+        return bins.groupBy("source", "b").agg(F.sum(F.when(whole + 1 <= most, F.col("size")).otherwise(0)).alias("tokens"), F.sum(whole * F.col("size")).alias("base"))
 
     def limit(params: DataFrame, hist: DataFrame, name: str, budget: Column) -> DataFrame:
         """The last bin before which all fits in the budget, and what is left of it there."""
@@ -141,7 +141,7 @@ def _decided(sized: DataFrame, plan: DataFrame, most: float) -> DataFrame:
     """``sized`` with its source's size and target, whole copies, and words beyond them."""
     joined, whole, v = _spread(plan, sized, most)
     width = 2.0 / BINS
-    up = v < F.col("bin") * width + F.col("sub") * (width / BINS)
+    up = (whole + 1 <= most) & (v < F.col("bin") * width + F.col("sub") * (width / BINS))
     part = F.when(~up & F.col("doc_id").eqNullSafe(F.col("part_doc")) & (v == F.col("part_v")), F.least(F.round("left").cast("long"), (F.col("size") * (most - whole)).cast("long"))).otherwise(0)
     copies = F.when(F.col("size") == 0, 0).otherwise(whole + up.cast("long"))
     return joined.withColumns({"copies": copies.cast("long"), "part": part.cast("long")})
