@@ -66,6 +66,27 @@ def test_license(spark, odd, none):
     assert all(re.search(license.CUE, s) for s in license.SENTENCES.values())
 
 
+def test_license_wrapped(spark):
+    """Texts wrapped at 70 columns, plain and as comments."""
+    import textwrap
+
+    s = license.SENTENCES
+    mit = [s["mit-grant"] + ":", s["mit-condition"] + ".", s["as-is"].replace("as is", '"AS IS"') + ". In no event."]
+    gpl = ["Copyright (C) 2020 X", s["gpl-free"].replace("software you", "software: you") + ".", s["gpl-hope"] + "."]
+    bsd = [s["bsd-redistribute"] + ":", "1. " + s["bsd-source"] + ".", "2. " + s["bsd-binary"] + "."]
+    apache = ["Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in\ncompliance with the License."]
+    rows, want = [], {}
+    for name, parts in (("MIT", mit), ("GPL-3.0-or-later", gpl), ("BSD-2-Clause", bsd), ("Apache-2.0", apache)):
+        lines = "\n\n".join(p if "\n" in p else textwrap.fill(p, 70) for p in parts).split("\n")
+        for end, mark in (("\n", ""), ("\r\n", ""), ("\n", "# "), ("\n", " * "), ("\n", "// "), ("\n", ";; ")):
+            want[len(rows)] = [name]
+            rows.append((len(rows), end.join(mark + x for x in ["Some title", *lines, "and code"])))
+    rows.append((len(rows), s["mit-grant"].replace("copy of", "copy. of")))
+    want[len(rows) - 1] = []
+    got = license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: list(r["licenses"]) for r in got} == want
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be"), (1, 1, "user", "hi"), (1, 2, "assistant", "yo"), (2, 0, None, None), (2, 0, None, None), (None, 0, "", "x"), (3, 0, "system", "alone")]
     got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()

@@ -43,22 +43,32 @@ RULES = (
 )
 #: Every known sentence holds one of these; a text with none isn't split at all.
 CUE = r"(?i)licen[sc]|permission|warrant|redistribut|copyright|free software|endorse"
-#: Where sentences end. License texts number conditions and quote "as is", which normalising takes out.
-ENDS = r"[.!?:;]+[\x20\x09-\x0D]+|[\x0A\x0D]+"
+#: Where sentences end: at full stops and the like, and at lines without letters or digits. License texts number conditions and quote "as is", which normalising takes out.
+ENDS = r"(?<![.!?:;])[:;]*+[.!?][.!?:;]*+[\x20\x09-\x0D]++|(?>\x0D\x0A|[\x0A\x0D])(?:[^a-z0-9\x0A\x0D]*+(?>\x0D\x0A|[\x0A\x0D]))++"
+#: Where sentences may end or go on: texts are wrapped, and colons stand within sentences too.
+MAY_END = r"[:;][\x20\x09-\x0D]++|[\x0A\x0D]++"
 
 
-def _normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def _normal(text: Column) -> Column:
+    """Words of a text in lower case, with | where a sentence ends and ~ where one may end."""
+    marked = F.regexp_replace(F.regexp_replace(F.translate(F.lower(text), "|~", "  "), ENDS, "|"), MAY_END, "~")
+    return F.regexp_replace(marked, "[^a-z0-9|~]++", " ")
+
+
+def _pattern(sentences: dict[str, str]) -> str:
+    """Any of the sentences, from where one begins or may begin to where it ends or may end; the longest if several begin there."""
+    each = sorted(sentences.values(), key=lambda s: (-len(s), s))
+    return f"(?<=^ ?|[|~] ?)(?:{'|'.join(s.replace(' ', '[ ~]++') for s in each) or '(?!)'})(?= ?(?:[|~]|$))"
 
 
 def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sentences: dict[str, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:
     """``(doc_id, sentences, licenses)`` for every row of ``docs``: identifiers of known sentences in order of the text, and the licenses of rules that match, in order of the rules, each once.
 
-    Whole texts are split into sentences; letter case, punctuation and spacing don't matter. Null and empty texts, like all others without known sentences, have empty lists. Repeated rows are scanned alike. Other columns aren't read. There is no shuffle.
+    Whole texts are split into sentences; letter case, punctuation within them, spacing and line breaks, with comment marks or not, don't matter. Null and empty texts, like all others without known sentences, have empty lists. Repeated rows are scanned alike. Other columns aren't read. There is no shuffle.
     """
     known = F.create_map(*(F.lit(v) for name, s in sentences.items() for v in (s, name)))
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    ids = F.when(F.rlike(t, F.lit(CUE)), F.filter(F.transform(F.split(t, ENDS, -1), lambda s: F.try_element_at(known, _normal(s))), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    ids = F.when(F.rlike(t, F.lit(CUE)), F.transform(F.regexp_extract_all(_normal(t), F.lit(_pattern(sentences)), F.lit(0)), lambda s: F.try_element_at(known, F.regexp_replace(s, "[ ~]+", " ")))).otherwise(F.array().cast("array<string>"))
     row = docs.select(F.col(id_col).cast("long").alias("doc_id"), ids.alias("sentences"))
     joined = F.concat(F.lit(","), F.array_join("sentences", ","), F.lit(","))
     hits = []
