@@ -177,6 +177,16 @@ def test_packing(odd, docs, none):
     assert pack.pack(none, queries.vocabulary()).count() == 0
 
 
+def test_packing_separators(spark):
+    """Information separators are tokens, not white space."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.vocabulary())
+    texts = ["a\x1cb", "x\x1d \x1e y\x1f", "\x1c\x1d", "Word\x1e, word.\x1f\u2003z\x85q\xa0r", "a\x0bb\x0cc"]
+    got = {r["doc_id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in pack.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), queries.vocabulary()).collect()}
+    assert got == {i: [*tok.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+
+
 def test_mixing(odd, docs, none):
     for df in (docs, odd):
         got = mixing.mix(df).collect()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +22,18 @@ MERGED = 64
 END = 2
 #: Words that are remembered, and marks that may end a word of letters.
 _CACHE = 600_000
+_WORDS = re.compile(r"[\S\x1c-\x1f]+")
 _TAIL = ".,;:!?)]*#%&$\""
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, part long, window long, offset long, full boolean"
 
 
+def _split(text: str) -> list[str]:
+    """The words between the tokenizer's white space, which unlike Python's leaves out U+001C to U+001F."""
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return _WORDS.findall(text)
+    return text.split()
+
+
 class WordTokens:
     """Ids of whole texts by a tokenizer of which no token crosses white space, remembered word by word.
 
@@ -80,7 +89,7 @@ class WordTokens:
             self.known[w] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.split() for t in texts]
+        words = [_split(t) for t in texts]
         known = self.known
         new = [w for w in set(itertools.chain.from_iterable(words)) if w not in known]
         if len(self.cores) > _CACHE:
