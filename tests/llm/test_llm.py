@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from veridge.llm import chat, language, license, matroska, mixing, pack, pii, queries, simhash, suffix, topk
+from veridge.llm import chat, language, license, matroska, mixing, pack, pii, queries, shingles, simhash, suffix, topk
 
 ODD = [(1, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, ""), (5, " \n\t"), (6, "A b C d e f"), (6, "zz"), (None, "x y"), (None, None), (7, "été 😀 " * 3000), (8, "1" * 5000), (9, "w " * 20000)]
 
@@ -57,6 +57,56 @@ def test_simhash(odd, docs, none):
     assert kept.columns == odd.columns and kept.where("doc_id in (1, 2, 6)").count() == 2
 
 
+def brute_components(rows, least=0.8):
+    """Rows (id, text) to the index of their component's row that stays: links are exact five-word similarities."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 10 * least * len(sets[i] | sets[j]) - 1e-6 and group[i] != group[j]:
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    return group
+
+
+def test_pipeline_near_duplicates(spark, docs, odd, none):
+    """Pairs from 0.7 to 1, a group of copies of one text with an edit each, and ids with several texts, against all pairs."""
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 50_000, n)]
+    rows = []
+    for n in range(60):
+        base = word(100 + 5 * n)
+        other = list(base)
+        for at in rng.integers(0, len(base), 1 + len(base) * (n % 6) // 200):
+            other[at] = "new"
+        rows += [(1000 + 2 * n, " ".join(base)), (1001 + 2 * n, " ".join(other).upper())]
+    base = word(80)
+    for n in range(40):
+        rows.append((3000 + n, " ".join([*base[: 2 * n], "odd", *base[2 * n + 1 :]])))
+    rows += [(1000, rows[2][1]), (1000, "a text of its own"), (1003, "one more")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    for df in (plain, docs, odd):
+        own = [(r["doc_id"], r["text"]) for r in df.collect()]
+        known = [r for r in own if r[0] is not None]
+        group = brute_components(known)
+        best = {}
+        for g, (i, _) in zip(group, known, strict=True):
+            best[g] = min(best.get(g, i), i)
+        kept = p.drop_near_duplicates(spark, df, "")
+        got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+        assert kept.columns == df.columns and sorted(i for i, _ in got if i is not None) == sorted(best.values())
+        of = {}
+        for g, r in zip(group, known, strict=True):
+            of[r] = g
+        assert len({of[r] for r in got if r[0] is not None}) == len(best) and sum(i is None for i, _ in got) == sum(i is None for i, _ in own)
+    assert p.drop_near_duplicates(spark, none, "").count() == 0
+
+
 def test_license(spark, odd, none):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
     parts = mit.split("\n\n")
