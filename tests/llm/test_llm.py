@@ -57,6 +57,13 @@ def test_simhash(odd, docs, none):
     assert kept.columns == odd.columns and kept.where("doc_id in (1, 2, 6)").count() == 2
 
 
+def test_simhash_repeated_ids(spark):
+    """Texts under one id are judged apart, in either order."""
+    rows = [(1, "a b c d e f"), (6, "a b c d e f"), (6, "zz"), (7, "yy"), (7, "a b c d e f")]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert sorted(map(tuple, kept.collect())) == [(1, "a b c d e f"), (6, "zz"), (7, "yy")]
+
+
 def brute_components(rows, least=0.8):
     """Rows (id, text) to the index of their component's row that stays: links are exact five-word similarities."""
     sets = []

@@ -104,8 +104,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
 
 def deduplicate(docs: DataFrame, text: str = "text", id_col: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one row of each near-duplicate component, the one with the smallest id; of repeated rows with that id, one. Rows without an id stay."""
+    """``docs`` with one row of each near-duplicate component, the one with the smallest id; of several fingerprints with that id in it the smallest, and of rows that repeat both, one. Rows without an id stay."""
     groups = near_duplicates(docs, text, id_col, max_bits)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    with_id = docs.join(keep, docs[id_col].cast("long") == keep["__keep"], "left_semi").dropDuplicates([id_col])
+    keep = groups.where("doc_id = component_id").groupBy("component_id").agg(F.min("fingerprint").alias("__print")).withColumnRenamed("component_id", "__keep")
+    named = docs.withColumn("__own", F.lpad(F.lower(F.hex(_fingerprints(F.col(text).cast("string")))), 16, "0"))
+    own = (F.col(id_col).cast("long") == F.col("__keep")) & (F.col("__own") == F.col("__print"))
+    with_id = named.join(keep, own, "left_semi").dropDuplicates([id_col, "__own"]).drop("__own")
     return with_id.unionByName(docs.where(F.col(id_col).isNull()))
