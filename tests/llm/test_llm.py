@@ -298,18 +298,52 @@ def test_suffix(spark, docs, odd, none):
     assert suffix.remove_repeats(odd).count() == 13 and suffix.remove_repeats(none).count() == 0
 
 
-def test_suffix_across_batches(spark):
-    """Two batches: an owner learns that a batch with an equal span has other spans of the anchor."""
+def removed(df):
+    return {r["doc_id"]: (sum(s["end"] - s["start"] for s in r["spans"]), bytes(r["kept"])) for r in suffix.remove_repeats(df).collect()}
+
+
+def copies_and_edits():
+    """Groups of exact copies, copies with an edit, and texts that share a passage, in an order that mixes groups."""
     rng = np.random.default_rng(3)
-    rows = []
-    for g in range(30):
-        base = "".join(map(chr, rng.integers(97, 123, 300)))
-        at = int(rng.integers(100, 200))
-        rows += [(g, base), (1000 + 2 * g, base[:at] + "#" + base[at + 1 :]), (1001 + 2 * g, base)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionById(2, (F.col("doc_id") >= 1000).cast("int"))
+    line = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    common, rows = line(90), []
+    for g in range(40):
+        base, at = line(300), int(rng.integers(100, 200))
+        rows += [(g, base), (1000 + 3 * g, base[:at] + "#" + base[at + 1 :]), (1001 + 3 * g, base), (1002 + 3 * g, line(80) + base[50:260] + line(20))]
+        rows += [(2000 + g, line(60) + common + line(60)), (3000 + g, base[:170] + common + base[170:])]
+    return rows
+
+
+def test_suffix_any_partitions(spark):
+    """One row a task, all in one, and two tasks give what brute force gives."""
+    rows = copies_and_edits()
     want = brute_repeats(sorted(rows))
-    for r in suffix.remove_repeats(df).collect():
-        assert (sum(s["end"] - s["start"] for s in r["spans"]), bytes(r["kept"])) == want[r["doc_id"]], r["doc_id"]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for split in (df.repartition(len(rows)), df.coalesce(1), df.repartitionById(2, (F.col("doc_id") >= 1000).cast("int")), df.repartitionById(3, (F.col("doc_id") % 3).cast("int"))):
+        assert removed(split) == want
+
+
+def test_suffix_levels(monkeypatch):
+    """Batches of any size, in any order, settle in an index what brute force finds; frequent anchors that step back change nothing."""
+    rows = [(i, t.encode()) for i, t in [*copies_and_edits(), (5000, "ab" * 300), (5001, "\0" * 250), (5002, "x" + "\0" * 140 + "y")]]
+    monkeypatch.setattr(suffix, "SEGMENT", 150)
+    seen, want = set(), set()
+    for i, t in sorted(rows):
+        for p in range(len(t) - 99):
+            if t[p : p + 100] in seen:
+                want.add((i, p))
+            seen.add(t[p : p + 100])
+    rng = np.random.default_rng(1)
+    grams = suffix.Anchors().runs(np.frombuffer(b"".join(t for _, t in rows), np.uint8), np.append(0, np.cumsum([len(t) for _, t in rows])[:-1]))[0]
+    for size, hot in ((1, None), (7, None), (50, grams[::2]), (10**6, grams), (13, np.unique(grams)[:5])):
+        index, found, order = suffix.Family(), [], rng.permutation(len(rows))
+        for k in range(0, len(order), size):
+            texts = suffix._Texts([(rows[j][0], 0, rows[j][1]) for j in order[k : k + size]], suffix.Anchors(hot=hot))
+            found += index.add(texts.entries(np.arange(len(texts.at)), suffix.entry_type(100, 32)))
+            sizes = [len(x) for x in index.levels]
+            assert all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+        got = [(int(u), p) for us, los, his in found for u, lo, hi in zip(us, los, his, strict=True) for p in range(lo, hi + 1)]
+        assert set(got) == want and len(got) == len(want)
 
 
 def test_language(spark, docs, odd, none):

@@ -1,8 +1,10 @@
-"""Removing repeated byte strings with a logarithmic family of sorted suffix runs.
+"""Removing repeated byte strings with a logarithmic family of suffix arrays.
 
-A string of ``length`` bytes is judged by the suffix that starts with it. Suffixes enter an index in batches; a batch is sorted, scanned against the levels that the index has, and becomes a level itself; levels of like size merge, so that there are logarithmically many. Suffixes are ordered by 64-bit hashes of their first ``length`` bytes: only equality matters, and hashes keep the arrays narrow. Index shards are dealt by hash.
+A string of ``length`` bytes that stands at a place is a window. Each window has an anchor, its leftmost smallest hash of ``k`` bytes; equal windows have their anchors at equal offsets, and consecutive windows with one anchor are a run. A run is kept as the suffix that starts at its anchor and the reversed prefix that ends there. Both are sorted, with the common lengths of neighbours: suffixes that agree on r bytes lie together, prefixes that agree on l bytes too, so two windows that reach l bytes to the left are equal if and only if both their classes are. Every equality is one of bytes; hashes only choose anchors and deal work.
 
-Two things keep the volume near that of the repeats. First, suffixes are handled in runs: each window of ``length`` bytes has an anchor, its leftmost smallest hash of ``K`` bytes, and consecutive windows with one anchor form a run, whose span is all their bytes. Equal windows have equal anchors, so a run whose anchor occurs once is unique, and a run whose span came before is a repeat as a whole. Only runs that share their anchor but not their span are opened into single windows, which a second index compares. Second, every map task indexes its own batches first and sends on at most one entry of a span or a window, so a string that a third of all documents share reaches a shard once per batch. Windows are dealt by their smallest and largest gram, not by their own hash, so that neighbours meet in one shard and their places leave it as ranges; a frequent anchor in many contexts still spreads by the largest gram.
+New entries come to an index in batches. A batch gets its own arrays, which settle repeats inside it; it is then merge-scanned against each level that the index has, and becomes a level itself; levels of like size merge, so that there are logarithmically many.
+
+Two things keep the volume near that of the repeats. A batch of a map task settles its own texts and sends on, in a first pass, only anchors (a hash and a place) of what is left; a window can only repeat elsewhere if its anchor comes in two batches. The second pass opens those windows and sends their bytes, once a batch, to the shard of their anchor. Anchors so frequent that one shard would be loaded step back in the second pass: windows take another anchor if they have one, which their context gives, and windows of frequent grams alone are few. Shards are counted by bytes.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,293 +21,414 @@ from veridge.runtime import ranked, written
 
 LENGTH = 100
 K = 32
-#: Windows of a document that are hashed at a time, and entries of a batch.
-SEGMENT, BATCH = 1 << 18, 1 << 22
+#: Positions that are hashed at a time, bytes of a map task's batch, entries of a shard's batch.
+SEGMENT, BATCH, ENTRIES = 1 << 19, 1 << 24, 1 << 16
+#: Of an anchor with more places than this in a batch one is sent; the batch opens them all.
+FEW = 8
+#: Bytes of entries that a shard may hold, and places of an anchor from which on it may count as frequent.
+SHARD, FREQUENT = 1 << 26, 1 << 12
 _POS = np.uint64((1 << 24) - 1)
-ROWS = "shard int, uid long, kind int, blob binary"
-ENTRY, REPEAT, OPEN = 0, 1, 2
-#: Bits of ``many``: a span's own batch had another span of its anchor and opened both; a batch with an equal span did.
-OWN, OTHERS = 1, 2
+ROWS = "shard int, uid long, kind int, n long, blob binary"
+ENTRY, REPEAT, OPEN, HOT = range(4)
 
 
-class Hasher:
-    """Anchors, spans and window hashes of byte strings."""
+class Anchors:
+    """Finds the runs of byte strings. ``hot`` are grams that step back."""
 
-    def __init__(self, length: int = LENGTH, k: int = K) -> None:
+    def __init__(self, length: int = LENGTH, k: int = K, hot: np.ndarray | None = None) -> None:
         if k & (k - 1) or k > length:
             raise ValueError("k is a power of two of at most length")
         self.length, self.k, self.w = length, k, length - k + 1
+        self.hot = np.zeros(0, np.uint64) if hot is None else np.sort(hot)
         rng = np.random.default_rng(7)
         self.byte = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
         self.mul = rng.integers(1, 1 << 63, (16, 2), dtype=np.uint64) | np.uint64(1)
-        base = 0x9E3779B97F4A7C15
-        n = SEGMENT + length
-        self.up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, base, dtype=np.uint64))])
-        self.down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, pow(base, -1, 1 << 64), dtype=np.uint64))])
 
     def grams(self, x: np.ndarray) -> np.ndarray:
-        """A hash of every k bytes, by doubling."""
+        """A hash of every k bytes, by doubling; the top bit is set for those that step back."""
         h, n, i = self.byte[x], 1, 0
         while n < self.k:
             right = h[n:]
             h = h[:-n] * self.mul[i, 0] + (right ^ (right >> np.uint64(29))) * self.mul[i, 1]
             n, i = 2 * n, i + 1
-        return h ^ (h >> np.uint64(31))
-
-    def sums(self, grams: np.ndarray) -> np.ndarray:
-        return np.concatenate([[np.uint64(0)], np.cumsum(grams * self.up[: len(grams)])])
-
-    def between(self, sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """A hash of the bytes from a to b + k - 1, wherever they stand."""
-        h = (sums[b] - sums[a]) * self.down[a]
-        return (h ^ (h >> np.uint64(32))) * self.mul[15, 0]
-
-    def slide(self, grams: np.ndarray, pick: np.ufunc) -> np.ndarray:
-        """The smallest or largest of each window's values."""
-        out, n = grams, 1
+        h = (h ^ (h >> np.uint64(31))) >> np.uint64(1)
+        if len(self.hot):
+            at = np.searchsorted(self.hot, h)
+            at[at == len(self.hot)] = 0
+            h[self.hot[at] == h] |= np.uint64(1 << 63)
+        return h
+
+    def _least(self, x: np.ndarray) -> np.ndarray:
+        """The least of each window's values."""
+        out, n = x, 1
         while 2 * n <= self.w:
-            out, n = pick(out[:-n], out[n:]), 2 * n
-        return pick(out[: len(grams) - self.w + 1], out[self.w - n :]) if n < self.w else out
-
-    def runs(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Anchor hash, span hash, first and last window of each run."""
-        g = self.grams(x)
-        low = self.slide((g & ~_POS) | np.arange(len(g), dtype=np.uint64), np.minimum)
-        at = (low & _POS).astype(np.int64)
-        lo = np.flatnonzero(np.diff(at, prepend=-1))
-        hi = np.append(lo[1:] - 1, len(at) - 1)
-        span = self.between(self.sums(g), lo, hi + self.w) + (at[lo] - lo).astype(np.uint64) * self.mul[15, 1] + (hi - lo).astype(np.uint64) * self.mul[14, 0]
-        return g[at[lo]], span, lo, hi
-
-    def windows(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A hash of each window, and one of its smallest and largest gram, which neighbours mostly share."""
-        g = self.grams(x)
-        p = np.arange(len(x) - self.length + 1)
-        deal = (self.slide(g, np.minimum) * self.mul[13, 0] ^ self.slide(g, np.maximum)) * self.mul[13, 1]
-        return self.between(self.sums(g), p, p + self.w), deal
-
-
-class Levels:
-    """Sorted runs of entries (key, document, place, and more), one owner for each key: the earliest.
-
-    ``add`` returns the places of entries that turned out to have an earlier equal: those of the batch, and owners that the batch displaces. A word ``many`` of an entry outlives it: the owner's gets ``OTHERS``.
-    """
+            out, n = np.minimum(out[:-n], out[n:]), 2 * n
+        return np.minimum(out[: len(x) - self.w + 1], out[self.w - n :]) if n < self.w else out
+
+    def runs(self, x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(gram hash, anchor, first and last window) of the runs in ``x``, which holds texts that begin at ``starts``; positions are in ``x``."""
+        ends = np.append(starts[1:], len(x))
+        out = []
+        for a in range(0, len(x) - self.length + 1, SEGMENT):
+            part = x[a : a + SEGMENT + self.length - 1]
+            g = self.grams(part)
+            at = (self._least((g & ~_POS) | np.arange(len(g), dtype=np.uint64)) & _POS).astype(np.int64)
+            new = np.append(True, at[1:] != at[:-1])
+            for b in (starts, ends - self.length + 1):  # where a text's windows begin, and end
+                b = b[(b >= a) & (b < a + len(at))] - a
+                new[b] = True
+            lo = np.flatnonzero(new)
+            hi = np.append(lo[1:] - 1, len(at) - 1)
+            inside = lo + a + self.length <= ends[np.searchsorted(starts, lo + a, "right") - 1]
+            lo, hi = lo[inside], hi[inside]
+            out.append((g[at[lo]], at[lo] + a, lo + a, hi + a))
+        return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
+
+
+def entry_type(length: int, k: int) -> np.dtype:
+    """An entry: where its anchor stands, how far to the left its windows reach at least and at most, and the bytes from the anchor on and, reversed, before it."""
+    return np.dtype([("uid", "<i8"), ("at", "<i8"), ("least", "u1"), ("most", "u1"), ("right", f"S{length}"), ("left", f"S{max(1, length - k)}")])
+
+
+def _bytes(strings: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(strings).view(np.uint8).reshape(len(strings), -1)
+
+
+def _sorted(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of strings, and how many bytes each shares with the one before it there. Runs already in order are merged, not sorted."""
+    order = np.argsort(strings, kind="stable")
+    rows = _bytes(strings[order])
+    differ = rows[1:] != rows[:-1]
+    common = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+    return order, np.append(0, common)
+
+
+def _stretches(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last) of the maximal stretches that are true in the rows of a matrix."""
+    flat = np.zeros((len(mask), mask.shape[1] + 1), bool)
+    flat[:, :-1] = mask
+    edge = np.diff(flat.ravel().astype(np.int8), prepend=0)
+    a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return a // flat.shape[1], a % flat.shape[1], (b - 1) % flat.shape[1]
+
+
+def _reach(e: np.ndarray, width: int) -> np.ndarray:
+    """Which windows entries have, by how far they reach to the left."""
+    left = np.arange(width)
+    return (e["least"][:, None] <= left) & (left <= e["most"][:, None])
+
+
+def _repeats(e: np.ndarray, length: int, k: int) -> np.ndarray:
+    """Which windows of ``e``, in order of place, have an equal before them: a row an entry, a column a reach to the left."""
+    width = length - k + 1
+    out = np.zeros((len(e), width), bool)
+    right, common = _sorted(e["right"])
+    group = np.empty(len(e), np.int64)
+    group[right] = np.cumsum(common < k)
+    alone = np.bincount(group)[group] < 2
+    if alone.any():
+        some = np.flatnonzero(~alone)
+        if len(some):
+            out[some] = _repeats(e[some], length, k)
+        return out
+    left, before = _sorted(e["left"])
+    lo, hi, a, b = e["least"], e["most"], np.empty(len(e), np.int64), np.empty(len(e), np.int64)
+    for reach in range(width):
+        at = np.flatnonzero((lo <= reach) & (reach <= hi))
+        if len(at) < 2:
+            continue
+        a[right] = np.cumsum(common < length - reach)
+        b[left] = np.cumsum(before < reach)
+        key = b[at] * (len(e) + 1) + a[at]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        out[at[order[1:][key[1:] == key[:-1]]], reach] = True
+    return out
+
+
+def _first_ones(e: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+    """What is left of entries without repeated windows."""
+    row, lo, hi = _stretches(_reach(e, repeated.shape[1]) & ~repeated)
+    out = e[row]
+    out["least"], out["most"] = lo, hi
+    return out
+
+
+def _where(e: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(uid, first, last) window of the repeats."""
+    row, lo, hi = _stretches(repeated)
+    return e["uid"][row], e["at"][row] - hi, e["at"][row] - lo
+
+
+class Family:
+    """Levels of entries in the order of their suffixes. ``add`` returns where a window stands that turned out to have an earlier equal, in the batch or in a level."""
 
-    def __init__(self, kind: np.dtype) -> None:
-        self.kind, self.runs = kind, []
+    def __init__(self, length: int = LENGTH, k: int = K) -> None:
+        self.length, self.k, self.levels = length, k, []
+
+    def _settled(self, e: np.ndarray, found: list) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((e["at"], e["uid"]))
+        repeated = np.empty((len(e), self.length - self.k + 1), bool)
+        repeated[order] = _repeats(e[order], self.length, self.k)
+        found.append(_where(e, repeated))
+        return repeated
+
+    def add(self, batch: np.ndarray) -> list[tuple]:
+        found: list[tuple] = []
+        batch = _first_ones(batch, self._settled(batch, found))
+        short = f"S{self.k}"
+        for i, level in enumerate(self.levels):
+            heads, own = level["right"].astype(short), batch["right"].astype(short)
+            ours = np.isin(own, heads)
+            if not ours.any():
+                continue
+            theirs = np.isin(heads, own)
+            both, n = np.concatenate([level[theirs], batch[ours]]), int(theirs.sum())
+            repeated = self._settled(both, found)
+            self.levels[i] = self._merged(level[~theirs], _first_ones(both[:n], repeated[:n]))
+            batch = np.concatenate([batch[~ours], _first_ones(both[n:], repeated[n:])])
+        self.levels.append(batch[np.argsort(batch["right"], kind="stable")])
+        i = len(self.levels) - 1
+        while i > 0:  # levels before the last can have lost entries
+            if len(self.levels[i - 1]) <= 2 * len(self.levels[i]):
+                self.levels[i - 1 : i + 1] = [self._merged(*self.levels[i - 1 : i + 1])]
+                i = len(self.levels)
+            i -= 1
+        return found
 
     @staticmethod
-    def _earlier(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (a["doc"] < b["doc"]) | ((a["doc"] == b["doc"]) & (a["lo"] < b["lo"]))
-
-    def add(self, batch: np.ndarray) -> np.ndarray:
-        batch = batch[np.lexsort((batch["lo"], batch["doc"], batch["key"]))]
-        first = np.append(True, batch["key"][1:] != batch["key"][:-1]) if len(batch) else np.zeros(0, bool)
-        words = "many" in self.kind.names and len(batch)
-        said = np.bitwise_or.reduceat(batch["many"], np.flatnonzero(first)) if words else None
-        later, batch = [batch[~first]], batch[first]
-        if words:
-            batch["many"] |= np.where(said > 0, OTHERS, 0)
-        for run in self.runs:
-            at = np.searchsorted(run["key"], batch["key"])
-            at[at == len(run)] = 0
-            same = run["key"][at] == batch["key"]
-            if same.any():
-                mine, at = batch[same], at[same]
-                wins = self._earlier(mine, run[at])
-                later += [mine[~wins], run[at[wins]]]
-                said = mine["many"] | run["many"][at] if words else None
-                run[at[wins]] = mine[wins]
-                if words:
-                    run["many"][at] |= np.where(said > 0, OTHERS, 0)
-                batch = batch[~same]
-        if len(batch):
-            self.runs.append(batch.copy())
-        while len(self.runs) > 1 and len(self.runs[-2]) <= 2 * len(self.runs[-1]):
-            b, a = self.runs.pop(), self.runs.pop()
-            both = np.concatenate([a, b])
-            self.runs.append(both[np.argsort(both["key"], kind="stable")])
-        return np.concatenate(later)
-
-    def owners(self) -> np.ndarray:
-        return np.concatenate([*self.runs, np.zeros(0, self.kind)])
-
-
-SPAN = np.dtype([("key", "<u8"), ("doc", "<i8"), ("lo", "<i8"), ("hi", "<i8"), ("anchor", "<u8"), ("many", "<i8")])
-WINDOW = np.dtype([("key", "<u8"), ("doc", "<i8"), ("lo", "<i8")])
-#: With what names the window's shard, before it is sent there.
-DEALT = np.dtype([*WINDOW.descr, ("deal", "<u8")])
+    def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        both = np.concatenate([a, b])
+        return both[np.argsort(both["right"], kind="stable")]
+
+
+class _Texts:
+    """The texts of a map task's batch, one after the other, and their runs."""
+
+    def __init__(self, parts: list[tuple[int, int, bytes]], anchors: Anchors) -> None:
+        self.length, self.pad = anchors.length, max(1, anchors.length - anchors.k)
+        sizes = np.array([len(d) for _, _, d in parts], np.int64)
+        starts = np.append(0, np.cumsum(sizes)[:-1])
+        self.x = np.frombuffer(b"".join([bytes(self.pad), *(d for _, _, d in parts), bytes(self.length)]), np.uint8)
+        self.gram, self.at, lo, hi = anchors.runs(self.x[self.pad : len(self.x) - self.length], starts)
+        of = np.searchsorted(starts, self.at, "right") - 1
+        shift = np.array([a for _, a, _ in parts], np.int64)[of] - starts[of]
+        self.uid = np.array([u for u, _, _ in parts], np.int64)[of]
+        self.lo, self.hi, self.place = lo + shift, hi + shift, self.at + shift
+
+    def entries(self, rows: np.ndarray, kind: np.dtype) -> np.ndarray:
+        out = np.empty(len(rows), kind)
+        at = self.at[rows] + self.pad
+        out["uid"], out["at"] = self.uid[rows], self.place[rows]
+        out["least"], out["most"] = self.place[rows] - self.hi[rows], self.place[rows] - self.lo[rows]
+        right = sliding_window_view(self.x, self.length)[at]
+        right[np.arange(self.length) >= (self.length - out["least"].astype(np.int64))[:, None]] = 0
+        left = np.ascontiguousarray(sliding_window_view(self.x, self.pad)[at - self.pad][:, ::-1])
+        left[np.arange(self.pad) >= out["most"][:, None]] = 0
+        out["right"], out["left"] = right.view(f"S{self.length}").ravel(), left.view(f"S{self.pad}").ravel()
+        return out
 
 
 def _places(kind: int, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple]:
     """A row for each document: its window ranges, joined where they touch, as pairs of 64-bit integers."""
-    order = np.lexsort((lo, doc))
-    doc, lo, hi = doc[order], lo[order], hi[order]
     if not len(doc):
         return []
-    new = np.append(True, (doc[1:] != doc[:-1]) | (lo[1:] != hi[:-1] + 1))
+    order = np.lexsort((lo, doc))
+    doc, lo, hi = doc[order], lo[order], hi[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (lo[1:] > hi[:-1] + 1))
     at = np.flatnonzero(new)
-    doc, pairs = doc[at], np.stack([lo[at], hi[np.append(at[1:] - 1, len(hi) - 1)]], 1).astype("<i8")
+    doc, pairs = doc[at], np.stack([lo[at], np.maximum.reduceat(hi, at)], 1).astype("<i8")
     cuts = np.flatnonzero(np.diff(doc)) + 1
-    return [(0, int(d), kind, p.tobytes()) for d, p in zip(doc[np.append(0, cuts)], np.split(pairs, cuts), strict=True)]
+    return [(0, int(d), kind, int((p[:, 1] - p[:, 0] + 1).sum()), p.tobytes()) for d, p in zip(doc[np.append(0, cuts)], np.split(pairs, cuts), strict=True)]
 
 
-#: Fields as they travel, one after the other: columns in order of document and place compress well. A string has under 2^31 bytes, a run under 2^16 windows.
-_SENT = {"key": "<u8", "anchor": "<u8", "doc": "<i8", "lo": "<u4", "hi": "<u2", "many": "u1"}
-
-
-def _packed(entries: np.ndarray) -> bytes:
-    get = lambda f: entries["hi"] - entries["lo"] if f == "hi" else entries[f]
-    return b"".join(get(f).astype(_SENT[f]).tobytes() for f in _SENT if f in entries.dtype.names)
-
-
-def _unpacked(blobs, kind: np.dtype) -> np.ndarray:
-    fields = [(f, np.dtype(t)) for f, t in _SENT.items() if f in kind.names]
-    size, out = sum(t.itemsize for _, t in fields), []
-    for b in blobs:
-        n, at = len(b) // size, 0
-        entries = np.empty(n, kind)
-        for f, t in fields:
-            entries[f] = np.frombuffer(b, t, n, at)
-            at += n * t.itemsize
-        if "hi" in kind.names:
-            entries["hi"] += entries["lo"]
-        out.append(entries)
-    return np.concatenate(out)
+def _dealt(entries: np.ndarray, by: np.ndarray, shards: int, fields: tuple) -> list[tuple]:
+    """A row for each shard: its entries, field by field."""
+    if not len(entries):
+        return []
+    shard = ((by >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+    order = np.lexsort((entries["at"], entries["uid"], shard))
+    entries, shard = entries[order], shard[order]
+    cuts = np.flatnonzero(np.diff(shard)) + 1
+    pack = lambda p: b"".join(np.ascontiguousarray(p[f]).tobytes() for f in fields)
+    return [(int(s), None, ENTRY, len(p), pack(p)) for s, p in zip(shard[np.append(0, cuts)], np.split(entries, cuts), strict=True)]
 
 
-def _entries(batch: np.ndarray, by: np.ndarray, shards: int) -> list[tuple]:
-    shard = (by >> np.uint64(20)) % np.uint64(shards)
-    order = np.lexsort((batch["lo"], batch["doc"], shard))
-    batch, shard = batch[order], shard[order]
-    cuts = np.flatnonzero(np.diff(shard)) + 1
-    return [(int(s), None, ENTRY, _packed(p)) for s, p in zip(shard[np.append(0, cuts)], np.split(batch, cuts), strict=True)] if len(batch) else []
+def _undealt(blob: bytes, n: int, kind: np.dtype, fields: tuple) -> np.ndarray:
+    out, at = np.empty(n, kind), 0
+    for f in fields:
+        out[f] = np.frombuffer(blob, kind[f], n, at)
+        at += n * kind[f].itemsize
+    return out
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["shard", "uid", "kind", "blob"]).astype({"uid": "Int64"})
+    return pd.DataFrame(rows, columns=["shard", "uid", "kind", "n", "blob"]).astype({"uid": "Int64"})
 
 
-def _many(spans: np.ndarray) -> np.ndarray:
-    """Of entries with distinct spans: whether the anchor has another span too, here or by an entry's own word."""
-    _, inverse, counts = np.unique(spans["anchor"], return_inverse=True, return_counts=True)
-    return (counts[inverse] > 1) | (np.bincount(inverse, weights=spans["many"])[inverse] > 0 if len(spans) else False)
+def _ranges(blobs) -> np.ndarray:
+    """All window ranges of a document, sorted and joined where they touch or overlap."""
+    pairs = np.concatenate([np.frombuffer(b, "<i8").reshape(-1, 2) for b in blobs])
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    ends = np.maximum.accumulate(pairs[:, 1])
+    at = np.flatnonzero(np.append(True, pairs[1:, 0] > ends[:-1] + 1))
+    return np.stack([pairs[at, 0], ends[np.append(at[1:] - 1, len(pairs) - 1)]], 1)
 
 
-def _batched(make: Callable, flush: Callable) -> Callable:
-    """A mapInPandas function: ``make`` yields arrays of entries for a row, ``flush`` turns a batch of them into rows."""
+def _batched(pieces: Callable, flush: Callable) -> Callable:
+    """A mapInPandas function: ``pieces`` yields (uid, place, bytes) for a row, ``flush`` turns a batch of them into rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                for entries in make(row):
-                    held.append(entries)
-                    n += len(entries)
+                for piece in pieces(row):
+                    held.append(piece)
+                    n += len(piece[2])
                     if n >= BATCH:
-                        yield _frame(flush(np.concatenate(held)))
+                        yield _frame(flush(held))
                         held, n = [], 0
         if held:
-            yield _frame(flush(np.concatenate(held)))
+            yield _frame(flush(held))
 
     return run
 
 
-def _ranges(blobs) -> np.ndarray:
-    """All window ranges of a document, sorted and joined where they touch or overlap."""
-    pairs = np.concatenate([np.frombuffer(b, "<i8").reshape(-1, 2) for b in blobs])
-    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-    ends = np.maximum.accumulate(pairs[:, 1])
-    at = np.flatnonzero(np.append(True, pairs[1:, 0] > ends[:-1] + 1))
-    return np.stack([pairs[at, 0], ends[np.append(at[1:] - 1, len(pairs) - 1)]], 1)
+#: What the first pass sends of a run: its gram, its place, how far it reaches, and how many of its anchor the batch has.
+PLACE = np.dtype([("gram", "<u8"), ("uid", "<i8"), ("at", "<u4"), ("least", "u1"), ("most", "u1"), ("count", "<u4")])
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+def repeated_windows(docs: DataFrame, total: int, length: int = LENGTH, k: int = K) -> DataFrame:
     """``(uid, blob)``: where the windows start that also start earlier, as pairs (first, last) of 64-bit integers.
 
-    ``docs`` has ``uid``, distinct longs that give the order of documents, and ``data``, binary. A document can have several rows, with ranges that overlap.
+    ``docs`` has ``uid``, distinct longs that give the order of documents, and ``data``, binary of ``total`` bytes in all. A document can have several rows, with ranges that overlap.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hasher: list[Hasher] = []
-
-    def tools() -> Hasher:
-        if not hasher:
-            hasher.append(Hasher(length, k))
-        return hasher[0]
-
-    def spans_of(row) -> Iterator[np.ndarray]:
-        h, x = tools(), np.frombuffer(row.data, np.uint8)
-        for at in range(0, len(x) - length + 1, SEGMENT):
-            anchor, span, lo, hi = h.runs(x[at : at + SEGMENT + length - 1])
-            out = np.zeros(len(lo), SPAN)
-            out["key"], out["doc"], out["lo"], out["hi"], out["anchor"] = span, row.uid, lo + at, hi + at, anchor
-            yield out
-
-    def spans_out(batch: np.ndarray) -> list[tuple]:
-        own = Levels(SPAN)
-        later = own.add(batch)
-        first = own.owners()
-        first = first[np.argsort(first["anchor"], kind="stable")]
-        first["many"] = _many(first)
-        several = first[first["many"] > 0]
-        send = np.concatenate([first[first["many"] == 0], several[np.append(True, several["anchor"][1:] != several["anchor"][:-1])] if len(several) else several])
-        return _places(REPEAT, later["doc"], later["lo"], later["hi"]) + _places(OPEN, several["doc"], several["lo"], several["hi"]) + _entries(send, send["anchor"], n)
-
-    def spans_judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Levels(SPAN)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = entry_type(length, k)
+    n = max(parts, -(-total * PLACE.itemsize // (K * SHARD)))
+    #: Places from which on an anchor steps back. At most 128 anchors a shard have so many.
+    frequent = max(FREQUENT, total // (128 * n))
+    made: dict = {}
+
+    def anchors(hot=None) -> Anchors:
+        if "a" not in made:
+            made["a"] = Anchors(length, k, hot)
+        return made["a"]
+
+    def whole(row) -> Iterator[tuple]:
+        """A document in pieces that overlap by a window less a byte."""
+        for at in range(0, max(1, len(row.data) - length + 1), BATCH):
+            yield row.uid, at, row.data[at : at + BATCH + length - 1]
+
+    def settle(texts: _Texts, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        """Entries whose windows are the first of the batch, and their grams; runs alone with their anchor have no bytes yet, only their row number in ``at``."""
+        _, inverse, counts = np.unique(texts.gram, return_inverse=True, return_counts=True)
+        several = np.flatnonzero(counts[inverse] > 1)
+        several = several[np.lexsort((texts.place[several], texts.uid[several]))]
+        e = texts.entries(several, kind)
+        repeated = _repeats(e, length, k) if len(e) else np.zeros((0, length - k + 1), bool)
+        rows += _places(REPEAT, *_where(e, repeated))
+        row, lo, hi = _stretches(_reach(e, repeated.shape[1]) & ~repeated)
+        out = e[row]
+        out["least"], out["most"] = lo, hi
+        return np.flatnonzero(counts[inverse] == 1), out, texts.gram[several[row]]
+
+    def first_out(held: list) -> list[tuple]:
+        texts, rows = _Texts(held, anchors()), []
+        alone, e, gram = settle(texts, rows)
+        send = np.zeros(len(alone) + len(e), PLACE)
+        one, more = send[: len(alone)], send[len(alone) :]
+        one["gram"], one["uid"], one["at"] = texts.gram[alone], texts.uid[alone], texts.place[alone]
+        one["least"], one["most"], one["count"] = texts.place[alone] - texts.hi[alone], texts.place[alone] - texts.lo[alone], 1
+        _, first, inverse, counts = np.unique(gram, return_index=True, return_inverse=True, return_counts=True)
+        more["gram"], more["uid"], more["at"], more["least"], more["most"] = gram, e["uid"], e["at"], e["least"], e["most"]
+        more["count"] = counts[inverse] if len(e) else 0
+        many = more["count"] > FEW
+        rows += _places(OPEN, more["uid"][many], more["at"][many].astype(np.int64) - more["most"][many], more["at"][many].astype(np.int64) - more["least"][many])
+        keep = ~many
+        keep[first[counts > FEW]] = True
+        send = np.concatenate([one, more[keep]])
+        return rows + _dealt(send, send["gram"], n, PLACE.names)
+
+    def first_judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got, batch = [], []
         for pdf in batches:
             entry = pdf["kind"] == ENTRY
             yield pdf[~entry]
-            if entry.any():
-                later = index.add(_unpacked(pdf["blob"][entry], SPAN))
-                yield _frame(_places(REPEAT, later["doc"], later["lo"], later["hi"]))
-        own = index.owners()
-        own = own[_many(own) & (own["many"] & OWN == 0)]
-        yield _frame(_places(OPEN, own["doc"], own["lo"], own["hi"]))
-
-    def windows_of(row) -> Iterator[np.ndarray]:
-        h, x = tools(), np.frombuffer(row.data, np.uint8)
+            for m, blob in zip(pdf["n"][entry], pdf["blob"][entry], strict=True):
+                got.append(_undealt(blob, m, PLACE, PLACE.names))
+                batch.append(m)
+        if not got:
+            return
+        e, of = np.concatenate(got), np.repeat(np.arange(len(batch)), batch)
+        order = np.lexsort((of, e["gram"]))
+        e, of = e[order], of[order]
+        new = np.append(True, e["gram"][1:] != e["gram"][:-1])
+        group = np.cumsum(new) - 1
+        batches_of = np.bincount(group, weights=new | np.append(True, of[1:] != of[:-1]))
+        sizes = np.bincount(group, weights=np.where(e["count"] > FEW, e["count"], 1))
+        opened = (batches_of[group] > 1) & (e["count"] <= FEW)
+        at = e["at"][opened].astype(np.int64)
+        rows = _places(OPEN, e["uid"][opened], at - e["most"][opened], at - e["least"][opened])
+        hot = e["gram"][new][sizes >= frequent]
+        yield _frame(rows + ([(0, 0, HOT, len(hot), hot.tobytes())] if len(hot) else []))
+
+    # A shard is a partition; rows that only pass through are dealt by document.
+    def sent(df: DataFrame, n: int) -> DataFrame:
+        return df.repartitionById(n, F.when(F.col("kind") == ENTRY, F.col("shard")).otherwise(F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int")))
+
+    first = written(sent(docs.mapInPandas(_batched(whole, first_out), ROWS), n).mapInPandas(first_judged, ROWS))
+    hot = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["blob"], "<u8") for r in first.where(F.col("kind") == HOT).select("blob").toLocalIterator())])
+    wide = first.where(F.col("kind") == OPEN).agg(F.sum("n")).first()[0] or 0
+    #: A run has some 17 windows or more on average, so an entry for each 16 is a safe guess.
+    m = max(parts, -(-(wide // 16) * kind.itemsize // SHARD))
+
+    def opened(row) -> Iterator[tuple]:
         for lo, hi in _ranges(row.blobs):
-            for at in range(lo, hi + 1, SEGMENT):
-                keys, deal = h.windows(x[at : min(at + SEGMENT, hi + 1) + length - 1])
-                out = np.zeros(len(keys), DEALT)
-                out["key"], out["doc"], out["lo"], out["deal"] = keys, row.uid, np.arange(at, at + len(keys)), deal
-                yield out
-
-    def windows_out(batch: np.ndarray) -> list[tuple]:
-        own = Levels(DEALT)
-        later = own.add(batch)
-        first = own.owners()
-        return _places(REPEAT, later["doc"], later["lo"], later["lo"]) + _entries(first, first["deal"], n)
-
-    def windows_judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Levels(WINDOW)
+            for at in range(lo, hi + 1, BATCH):
+                yield row.uid, at, row.data[at : min(at + BATCH, hi + 1) + length - 1]
+
+    def second_out(held: list) -> list[tuple]:
+        texts, rows = _Texts(held, anchors(hot)), []
+        alone, e, gram = settle(texts, rows)
+        send = np.concatenate([texts.entries(alone, kind), e])
+        return rows + _dealt(send, np.concatenate([texts.gram[alone], gram]), m, kind.names)
+
+    def second_judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index, held, size = Family(length, k), [], 0
+
+        def settled() -> pd.DataFrame:
+            found = index.add(np.concatenate(held))
+            return _frame(_places(REPEAT, *map(np.concatenate, zip(*found, strict=True))))
+
         for pdf in batches:
             entry = pdf["kind"] == ENTRY
             yield pdf[~entry]
-            if entry.any():
-                later = index.add(_unpacked(pdf["blob"][entry], WINDOW))
-                yield _frame(_places(REPEAT, later["doc"], later["lo"], later["lo"]))
+            for count, blob in zip(pdf["n"][entry], pdf["blob"][entry], strict=True):
+                held.append(_undealt(blob, count, kind, kind.names))
+                size += count
+                if size >= ENTRIES:
+                    yield settled()
+                    held, size = [], 0
+        if held:
+            yield settled()
 
-    # A shard is a partition; rows that only pass through are dealt by document.
-    dealt = lambda df: df.repartitionById(n, F.when(F.col("kind") == ENTRY, F.col("shard")).otherwise(F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int")))
-    spans = written(dealt(docs.mapInPandas(_batched(spans_of, spans_out), ROWS)).mapInPandas(spans_judged, ROWS))
-    opened = spans.where(F.col("kind") == OPEN).groupBy("uid").agg(F.collect_list("blob").alias("blobs"))
-    windows = docs.join(opened, "uid").select("uid", "data", "blobs").mapInPandas(_batched(windows_of, windows_out), ROWS)
-    judged = dealt(windows).mapInPandas(windows_judged, ROWS)
-    return spans.where(F.col("kind") == REPEAT).select("uid", "blob").union(judged.select("uid", "blob"))
+    ranges = first.where(F.col("kind") == OPEN).groupBy("uid").agg(F.collect_list("blob").alias("blobs"))
+    second = docs.join(ranges, "uid").select("uid", "data", "blobs").mapInPandas(_batched(opened, second_out), ROWS)
+    judged = sent(second, m).mapInPandas(second_judged, ROWS)
+    return first.where(F.col("kind") == REPEAT).select("uid", "blob").union(judged.select("uid", "blob"))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, k: int = K) -> DataFrame:
     """``(doc_id, n_bytes, spans, kept)``: the byte ranges removed from each document, and its other bytes.
 
-    A byte is removed if a string of ``length`` bytes covers it that also starts earlier: in a document of smaller id, or earlier in its own. Nulls count as empty; texts shorter than ``length`` stay whole. Rows that share an id, or have none (they come last), count as documents of their own, ordered by text. ``spans`` are maximal and hold their end exclusively. Other columns aren't read.
+    A byte is removed if a string of ``length`` bytes covers it that also starts earlier: in a document of smaller id, or earlier in its own. Nulls count as empty; texts shorter than ``length`` stay whole. Rows that share an id, or have none (they come last), count as documents of their own, ordered by text. ``spans`` are maximal and hold their end exclusively. Other columns aren't read. The result doesn't depend on how ``docs`` is split into partitions.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("data"))
-    rows, ids, distinct = base.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
+    rows, ids, distinct, total = base.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id"), F.sum(F.length("data"))).first()
     own = base.withColumn("uid", F.col("doc_id")) if rows == ids == distinct else written(ranked(base, [F.col("doc_id").asc_nulls_last(), F.col("data")], "uid"))
-    found = repeated_windows(own.select("uid", "data"), length, k).groupBy("uid").agg(F.collect_list("blob").alias("blobs"))
+    found = repeated_windows(own.select("uid", "data"), total or 0, length, k).groupBy("uid").agg(F.collect_list("blob").alias("blobs"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
