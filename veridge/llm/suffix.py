@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,14 +23,15 @@ from veridge.runtime import ranked, written
 LENGTH = 100
 K = 32
 #: Positions that are hashed at a time, bytes of a map task's batch, entries of a shard's batch.
-SEGMENT, BATCH, ENTRIES = 1 << 19, 1 << 24, 1 << 16
+SEGMENT, BATCH, ENTRIES = 1 << 19, 1 << 23, 1 << 16
 #: Of an anchor with more places than this in a batch one is sent; the batch opens them all.
 FEW = 8
 #: Bytes of entries that a shard may hold, and places of an anchor from which on it may count as frequent.
 SHARD, FREQUENT = 1 << 26, 1 << 12
 _POS = np.uint64((1 << 24) - 1)
-ROWS = "shard int, uid long, kind int, n long, blob binary"
+ROWS = "shard int, kind int, n long, blob binary"
 ENTRY, REPEAT, OPEN, HOT = range(4)
+RANGE = np.dtype([("uid", "<i8"), ("lo", "<i8"), ("hi", "<i8")])
 
 
 class Anchors:
@@ -229,29 +231,43 @@ class _Texts:
         return out
 
 
-def _places(kind: int, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple]:
-    """A row for each document: its window ranges, joined where they touch, as pairs of 64-bit integers."""
+def _joined(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Window ranges of documents, in order of place and joined where they touch or overlap."""
+    out = np.empty(len(doc), RANGE)
     if not len(doc):
-        return []
+        return out
     order = np.lexsort((lo, doc))
     doc, lo, hi = doc[order], lo[order], hi[order]
-    new = np.append(True, (doc[1:] != doc[:-1]) | (lo[1:] > hi[:-1] + 1))
-    at = np.flatnonzero(new)
-    doc, pairs = doc[at], np.stack([lo[at], np.maximum.reduceat(hi, at)], 1).astype("<i8")
-    cuts = np.flatnonzero(np.diff(doc)) + 1
-    return [(0, int(d), kind, int((p[:, 1] - p[:, 0] + 1).sum()), p.tobytes()) for d, p in zip(doc[np.append(0, cuts)], np.split(pairs, cuts), strict=True)]
+    new = np.append(True, doc[1:] != doc[:-1])
+    # ends so far in a document: all of a later one lie behind, so that one running maximum does
+    base = np.append(0, np.cumsum(np.maximum.reduceat(hi, np.flatnonzero(new)) + 1)[:-1])[np.cumsum(new) - 1]
+    ends = np.maximum.accumulate(hi + base) - base
+    at = np.flatnonzero(new | np.append(True, lo[1:] > ends[:-1] + 1))
+    out = out[: len(at)]
+    out["uid"], out["lo"], out["hi"] = doc[at], lo[at], ends[np.append(at[1:] - 1, len(doc) - 1)]
+    return out
+
+
+def _places(kind: int, shards: int, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple]:
+    """A row for each bucket of documents: their window ranges."""
+    r = _joined(doc, lo, hi)
+    return _rows(r, (r["uid"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(shards), kind, RANGE.names)
 
 
-def _dealt(entries: np.ndarray, by: np.ndarray, shards: int, fields: tuple) -> list[tuple]:
+def _rows(entries: np.ndarray, shard: np.ndarray, kind: int, fields: tuple, pack: Callable = bytes) -> list[tuple]:
     """A row for each shard: its entries, field by field."""
     if not len(entries):
         return []
-    shard = ((by >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
-    order = np.lexsort((entries["at"], entries["uid"], shard))
-    entries, shard = entries[order], shard[order]
-    cuts = np.flatnonzero(np.diff(shard)) + 1
-    pack = lambda p: b"".join(np.ascontiguousarray(p[f]).tobytes() for f in fields)
-    return [(int(s), None, ENTRY, len(p), pack(p)) for s, p in zip(shard[np.append(0, cuts)], np.split(entries, cuts), strict=True)]
+    order = np.argsort(shard, kind="stable")
+    entries, shard = entries[order], shard[order].astype(np.int64)
+    cuts = np.append(np.append(0, np.flatnonzero(np.diff(shard)) + 1), len(shard)).tolist()
+    return [(int(shard[i]), kind, j - i, pack(b"".join(np.ascontiguousarray(entries[f][i:j]).tobytes() for f in fields))) for i, j in zip(cuts, cuts[1:], strict=False)]
+
+
+def _dealt(entries: np.ndarray, by: np.ndarray, shards: int, fields: tuple, pack: Callable = bytes) -> list[tuple]:
+    """Entries, in order of place, for the shards of their grams."""
+    order = np.lexsort((entries["at"], entries["uid"]))
+    return _rows(entries[order], (by[order] >> np.uint64(20)) % np.uint64(shards), ENTRY, fields, pack)
 
 
 def _undealt(blob: bytes, n: int, kind: np.dtype, fields: tuple) -> np.ndarray:
@@ -263,16 +279,31 @@ def _undealt(blob: bytes, n: int, kind: np.dtype, fields: tuple) -> np.ndarray:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["shard", "uid", "kind", "n", "blob"]).astype({"uid": "Int64"})
+    return pd.DataFrame(rows, columns=["shard", "kind", "n", "blob"])
+
+
+def _by_document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each document and kind of what a bucket holds: its window ranges as pairs of 64-bit integers."""
+    held: dict[int, list] = {REPEAT: [], OPEN: []}
+    for pdf in batches:
+        for kind, n, blob in zip(pdf["kind"], pdf["n"], pdf["blob"], strict=True):
+            if kind == HOT:
+                yield pd.DataFrame({"uid": [0], "kind": [HOT], "n": [n], "blob": [blob]})
+            else:
+                held[kind].append(_undealt(blob, n, RANGE, RANGE.names))
+    for kind, got in held.items():
+        if got:
+            r = np.concatenate(got)
+            r = _joined(r["uid"], r["lo"], r["hi"])
+            cuts = np.flatnonzero(np.append(True, np.diff(r["uid"]) != 0))
+            pairs = np.stack([r["lo"], r["hi"]], 1)
+            wide = np.add.reduceat(r["hi"] - r["lo"] + 1, cuts)
+            blobs = [p.tobytes() for p in np.split(pairs, cuts[1:])]
+            yield pd.DataFrame({"uid": r["uid"][cuts], "kind": kind, "n": wide, "blob": blobs})
 
 
-def _ranges(blobs) -> np.ndarray:
-    """All window ranges of a document, sorted and joined where they touch or overlap."""
-    pairs = np.concatenate([np.frombuffer(b, "<i8").reshape(-1, 2) for b in blobs])
-    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-    ends = np.maximum.accumulate(pairs[:, 1])
-    at = np.flatnonzero(np.append(True, pairs[1:, 0] > ends[:-1] + 1))
-    return np.stack([pairs[at, 0], ends[np.append(at[1:] - 1, len(pairs) - 1)]], 1)
+def _pairs(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, "<i8").reshape(-1, 2)
 
 
 def _batched(pieces: Callable, flush: Callable) -> Callable:
@@ -321,14 +352,14 @@ def repeated_windows(docs: DataFrame, total: int, length: int = LENGTH, k: int =
         for at in range(0, max(1, len(row.data) - length + 1), BATCH):
             yield row.uid, at, row.data[at : at + BATCH + length - 1]
 
-    def settle(texts: _Texts, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    def settle(texts: _Texts, rows: list[tuple], shards: int) -> tuple[np.ndarray, np.ndarray]:
         """Entries whose windows are the first of the batch, and their grams; runs alone with their anchor have no bytes yet, only their row number in ``at``."""
         _, inverse, counts = np.unique(texts.gram, return_inverse=True, return_counts=True)
         several = np.flatnonzero(counts[inverse] > 1)
         several = several[np.lexsort((texts.place[several], texts.uid[several]))]
         e = texts.entries(several, kind)
         repeated = _repeats(e, length, k) if len(e) else np.zeros((0, length - k + 1), bool)
-        rows += _places(REPEAT, *_where(e, repeated))
+        rows += _places(REPEAT, shards, *_where(e, repeated))
         row, lo, hi = _stretches(_reach(e, repeated.shape[1]) & ~repeated)
         out = e[row]
         out["least"], out["most"] = lo, hi
@@ -336,7 +367,7 @@ def repeated_windows(docs: DataFrame, total: int, length: int = LENGTH, k: int =
 
     def first_out(held: list) -> list[tuple]:
         texts, rows = _Texts(held, anchors()), []
-        alone, e, gram = settle(texts, rows)
+        alone, e, gram = settle(texts, rows, n)
         send = np.zeros(len(alone) + len(e), PLACE)
         one, more = send[: len(alone)], send[len(alone) :]
         one["gram"], one["uid"], one["at"] = texts.gram[alone], texts.uid[alone], texts.place[alone]
@@ -345,7 +376,7 @@ def repeated_windows(docs: DataFrame, total: int, length: int = LENGTH, k: int =
         more["gram"], more["uid"], more["at"], more["least"], more["most"] = gram, e["uid"], e["at"], e["least"], e["most"]
         more["count"] = counts[inverse] if len(e) else 0
         many = more["count"] > FEW
-        rows += _places(OPEN, more["uid"][many], more["at"][many].astype(np.int64) - more["most"][many], more["at"][many].astype(np.int64) - more["least"][many])
+        rows += _places(OPEN, n, more["uid"][many], more["at"][many].astype(np.int64) - more["most"][many], more["at"][many].astype(np.int64) - more["least"][many])
         keep = ~many
         keep[first[counts > FEW]] = True
         send = np.concatenate([one, more[keep]])
@@ -370,43 +401,43 @@ def repeated_windows(docs: DataFrame, total: int, length: int = LENGTH, k: int =
         sizes = np.bincount(group, weights=np.where(e["count"] > FEW, e["count"], 1))
         opened = (batches_of[group] > 1) & (e["count"] <= FEW)
         at = e["at"][opened].astype(np.int64)
-        rows = _places(OPEN, e["uid"][opened], at - e["most"][opened], at - e["least"][opened])
+        rows = _places(OPEN, n, e["uid"][opened], at - e["most"][opened], at - e["least"][opened])
         hot = e["gram"][new][sizes >= frequent]
-        yield _frame(rows + ([(0, 0, HOT, len(hot), hot.tobytes())] if len(hot) else []))
+        yield _frame(rows + ([(0, HOT, len(hot), hot.tobytes())] if len(hot) else []))
 
-    # A shard is a partition; rows that only pass through are dealt by document.
-    def sent(df: DataFrame, n: int) -> DataFrame:
-        return df.repartitionById(n, F.when(F.col("kind") == ENTRY, F.col("shard")).otherwise(F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int")))
+    # A shard is a partition, and so is a bucket of documents, whose rows only pass through shards.
+    dealt = lambda df, n: df.repartitionById(n, F.col("shard"))
+    gathered = lambda df, n: dealt(df, n).mapInPandas(_by_document, "uid long, kind int, n long, blob binary")
 
-    first = written(sent(docs.mapInPandas(_batched(whole, first_out), ROWS), n).mapInPandas(first_judged, ROWS))
+    first = written(gathered(dealt(docs.mapInPandas(_batched(whole, first_out), ROWS), n).mapInPandas(first_judged, ROWS), n))
     hot = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["blob"], "<u8") for r in first.where(F.col("kind") == HOT).select("blob").toLocalIterator())])
     wide = first.where(F.col("kind") == OPEN).agg(F.sum("n")).first()[0] or 0
     #: A run has some 17 windows or more on average, so an entry for each 16 is a safe guess.
     m = max(parts, -(-(wide // 16) * kind.itemsize // SHARD))
 
     def opened(row) -> Iterator[tuple]:
-        for lo, hi in _ranges(row.blobs):
+        for lo, hi in _pairs(row.blob).tolist():
             for at in range(lo, hi + 1, BATCH):
                 yield row.uid, at, row.data[at : min(at + BATCH, hi + 1) + length - 1]
 
     def second_out(held: list) -> list[tuple]:
         texts, rows = _Texts(held, anchors(hot)), []
-        alone, e, gram = settle(texts, rows)
+        alone, e, gram = settle(texts, rows, m)
         send = np.concatenate([texts.entries(alone, kind), e])
-        return rows + _dealt(send, np.concatenate([texts.gram[alone], gram]), m, kind.names)
+        return rows + _dealt(send, np.concatenate([texts.gram[alone], gram]), m, kind.names, zstandard.ZstdCompressor(3).compress)
 
     def second_judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, held, size = Family(length, k), [], 0
 
         def settled() -> pd.DataFrame:
             found = index.add(np.concatenate(held))
-            return _frame(_places(REPEAT, *map(np.concatenate, zip(*found, strict=True))))
+            return _frame(_places(REPEAT, m, *map(np.concatenate, zip(*found, strict=True))))
 
         for pdf in batches:
             entry = pdf["kind"] == ENTRY
             yield pdf[~entry]
             for count, blob in zip(pdf["n"][entry], pdf["blob"][entry], strict=True):
-                held.append(_undealt(blob, count, kind, kind.names))
+                held.append(_undealt(zstandard.decompress(blob), count, kind, kind.names))
                 size += count
                 if size >= ENTRIES:
                     yield settled()
@@ -414,9 +445,9 @@ def repeated_windows(docs: DataFrame, total: int, length: int = LENGTH, k: int =
         if held:
             yield settled()
 
-    ranges = first.where(F.col("kind") == OPEN).groupBy("uid").agg(F.collect_list("blob").alias("blobs"))
-    second = docs.join(ranges, "uid").select("uid", "data", "blobs").mapInPandas(_batched(opened, second_out), ROWS)
-    judged = sent(second, m).mapInPandas(second_judged, ROWS)
+    ranges = first.where(F.col("kind") == OPEN).select("uid", "blob")
+    second = docs.join(ranges, "uid").select("uid", "data", "blob").mapInPandas(_batched(opened, second_out), ROWS)
+    judged = gathered(dealt(second, m).mapInPandas(second_judged, ROWS), m)
     return first.where(F.col("kind") == REPEAT).select("uid", "blob").union(judged.select("uid", "blob"))
 
 
@@ -439,11 +470,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                     spans.append([])
                     continue
                 at, parts, gone = 0, [], []
-                for lo, hi in _ranges(blobs):
+                for lo, hi in sorted(p for b in blobs for p in _pairs(b).tolist()):
                     if gone and lo <= gone[-1][1]:
-                        gone[-1][1] = int(hi) + length
+                        gone[-1][1] = max(gone[-1][1], hi + length)
                     else:
-                        gone.append([int(lo), int(hi) + length])
+                        gone.append([lo, hi + length])
                 for a, b in gone:
                     parts.append(data[at:a])
                     at = b
