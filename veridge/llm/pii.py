@@ -193,7 +193,7 @@ RIGHT = {
     "phone": ("call {d}{d}{d}-{d}{d}{d}-{d}{d}{d}{d}", "tel ({d}{d}{d}) {d}{d}{d} {d}{d}{d}{d}", "phone: {d}{d}{d}.{d}{d}{d}.{d}{d}{d}{d} or", "fax 0{d}{d}{d} {d}{d}{d} {d}{d}{d}", "mobile ({d}{d}{d}) {d}{d}{d}-{d}{d}{d}{d}", "tel 0{d}{d} {d}{d}{d}{d} {d}{d}{d}{d}"),
 }
 WRONG = {
-    "email": ("{d} @ {d}.{d}{d} each", "sold {d}{d}@{d}.{d} today", "grade {w} @ {d}.{d}", "see {w}[at]{d}.{d}", "{w} {d} @ {d}{d}.{d}{d}"),
+    "email": ("{d} @ {d}.{d}{d} each", "sold {d}{d} @ {d}.{d} today", "grade {w} @ {d}.{d}", "see {w}[at]{d}.{d}", "{w} {d} @ {d}{d}.{d}{d}"),
     "ip": ("{d}. {d}. {d}. {d}", "section {d} . {d} . {d} . {d}", "version {d} . {d} . {d}{d} . {d}", "{d}{d}:{d}{d}:{d}{d}:{d}{d}:{d}{d}:{d}{d}:{d}{d}:{d}{d}", "steps {d} . {d} . {d} . {d} . {d}", "of {d}. {d}. {d}. {d}. {d}"),
     "card": ("order {d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{c}", "isbn 978-{d}-{d}{d}-{d}{d}{d}{d}{d}{d}-{c}", "{y}.{d}{d}.{d}{d}.{d}{d}.{d}{d}.{d}{c}", "numbers {d}{d}{d} {d}{d}{d} {d}{d}{d} {d}{d}{d} {d}{d}{c}", "{y} {y} {y} {d}{d}{d}{c}", "at 1{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{c}", "row {d}{d}  {d}{d}  {d}{d}  {d}{d}  {d}{d}  {d}{d}  {d}{c}"),
     "phone": ("the scores were {d}00 {d}00 {d}00 {d}00", "{y} {y} {y}", "from {y}-{y}-{y} on", "pages {d}{d} {d}{d} {d}{d} {d}{d} {d}{d}", "{d}{d}{d} {d}{d}{d} {d}{d}{d}", "on {y}-{d}{d}-{d}{d} {d}{d}", "{d}{d}.{d}{d}.{y}", "sizes {d}{d}{d} {d}{d}{d} {d}{d}{d} {d}{d}{d}", "{d}{d}{d}-{d}{d}{d}-{d}{d}{d}{d}-{d}{d}{d}", "{y}/{d}{d} {d}{d}{d}{d} {d}{d}{d}{d}", "{d}{d} {d}{d} {d}{d} {d}{d}"),
