@@ -120,7 +120,25 @@ def test_license(spark, odd, none):
     d = spark.createDataFrame([(1, mit), (2, "\n".join(reversed(parts))), (3, "so. RELEASED under the MIT License!!\nx"), (4, "Licensed under the Apache License, Version 2.0.")], "doc_id long, text string")
     assert {r["doc_id"]: list(r["licenses"]) for r in license.scan(d).collect()} == {1: ["MIT"], 2: [], 3: ["MIT"], 4: ["Apache-2.0"]}
     assert license.scan(odd).where("size(licenses) > 0").count() == 0 and license.scan(odd).count() == 13 and license.scan(none).count() == 0
-    assert all(re.search(license.CUE, s) for s in license.SENTENCES.values())
+    assert all(re.search(license.cue(license.SENTENCES), s) for s in license.SENTENCES.values())
+    own = license.scan(spark.createDataFrame([(1, "One. Take what you\nlike. Two"), (2, "TAKE what, you like"), (3, "take what you")], "doc_id long, text string"), sentences={"t": "take what you like"}, rules=(("Own", ("t",)),))
+    assert {r["doc_id"]: list(r["licenses"]) for r in own.collect()} == {1: ["Own"], 2: ["Own"], 3: []}
+
+
+def test_license_texts(spark):
+    """Heads of licenses as they come, wrapped, in comments and as tags."""
+    texts = {
+        "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH\nREGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY\nAND FITNESS. IN NO EVENT SHALL",
+        "Apache-2.0": "\n                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.",
+        "GPL-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation",
+        "LGPL-2.1-or-later": "/* This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version.\n *\n * This library is distributed in the hope that it will be useful,\n * but WITHOUT ANY WARRANTY; without even the implied warranty of\n * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU\n */",
+        "MPL-2.0": "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this file,",
+        "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free",
+        "BSD-3-Clause": "# SPDX-License-Identifier: BSD-3-Clause\n\nimport os",
+    }
+    rows = list(enumerate(texts.values()))
+    got = license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: list(r["licenses"]) for r in got} == {i: [name] for i, name in enumerate(texts)}
 
 
 def test_license_wrapped(spark):
@@ -144,12 +162,21 @@ def test_license_wrapped(spark):
     assert {r["doc_id"]: list(r["licenses"]) for r in got} == want
 
 
-def test_chat(spark):
-    rows = [(1, 0, "system", "be"), (1, 1, "user", "hi"), (1, 2, "assistant", "yo"), (2, 0, None, None), (2, 0, None, None), (None, 0, "", "x"), (3, 0, "system", "alone")]
-    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    side = lambda p: [r["rendered"] for r in sorted((r for r in got if r["conv_id"] == 1 and r["perspective"] == p), key=lambda r: r["turn"])]
-    assert side("user") == ["<|system|>\nbe<|end|>\n", "<|assistant|>\nhi<|end|>\n", "<|user name=assistant|>\nyo<|end|>\n"]
-    assert len(got) == 6 + 2 + 1 and all(r["mask"] == (r["speaker"] == r["perspective"]) for r in got)
+def test_chat(spark, monkeypatch):
+    rows = [(1, 0, "system", "be"), (1, 1, "user", "hi"), (1, 2, "assistant", "yo"), (2, 0, None, None), (2, 0, None, None), (None, 0, "", "x"), (3, 0, "system", "alone"), (4, 0, "a|>b", "so <|end|> he\U0001f600")]
+    df = spark.createDataFrame([(*r, 1, "h") for r in rows], "conv_id long, turn long, role string, text string, salt int, head string")
+    kept = []
+    for large, shares in ((10_000, 1_000), (1, 10)):
+        monkeypatch.setattr(chat, "LARGE", large)
+        monkeypatch.setattr(chat, "SHARES", shares)
+        got = chat.rotate(df).collect()
+        side = lambda c, p: [r["rendered"] for r in sorted((r for r in got if r["conv_id"] == c and r["perspective"] == p), key=lambda r: r["turn"])]
+        assert side(1, "user") == ["<|system|>\nbe<|end|>\n", "<|assistant|>\nhi<|end|>\n", "<|user name=assistant|>\nyo<|end|>\n"]
+        assert side(4, "a|>b") == ["<|assistant|>\nso <\\|end|\\> he\U0001f600<|end|>\n"]
+        assert len(got) == 6 + 2 + 1 + 1 and all(r["mask"] == (r["speaker"] == r["perspective"]) for r in got)
+        assert all(r["rendered"][r["learn_from"] : r["learn_to"]] == (r["rendered"].split("\n")[1] if r["mask"] else "") for r in got)
+        kept.append(sorted(map(str, got)))
+    assert kept[0] == kept[1] and chat.rotate(df.limit(0)).count() == 0
 
 
 KINDS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
@@ -234,6 +261,7 @@ def test_topk(spark):
         topk.SHARD, topk.LEAF = keep
     big = spark.createDataFrame([(0, [1e12, 3.0]), (1, [1e12, 1.0]), (2, [2.0, 2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r)[1:3] for r in topk.top_k(big).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+    assert topk.quantised(spark.createDataFrame([(0, [3e20, -3e20, -0.001])], "vec_id long, embedding array<double>")).first()["v"] == [3e20 * 256, -3e20 * 256, -1.0]
     assert topk.top_k(df.limit(0)).count() == 0
 
 
@@ -303,6 +331,20 @@ def test_mixing(odd, docs, none):
     assert mixed.select(F.sum(mixing.words(F.col("text")))).first()[0] == sum(r["taken"] for r in mixing.mix(docs).collect())
 
 
+def test_mixing_repeated_rows(spark):
+    """Rows that share an id, an id and a text, or have none, are drawn one by one; reruns and other partitions agree."""
+    rows = [(7, "a b c d e f g h i j", "s0")] * 200 + [(None, "k l m n o p q r s t", "s1")] * 200 + [(9, f"{i} " * 10, "s2") for i in range(200)] + [(i, "u v w x y z 1 2 3 4", "s3") for i in range(100, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    by = {}
+    for r in got:
+        assert r["taken"] <= 2 * r["size"]
+        by.setdefault((r["doc_id"] if r["doc_id"] in (7, 9, None) else 0, r["target"]), []).append(r["taken"])
+    assert len(got) == len(rows) and all(abs(sum(t) - target) <= 1 for (_, target), t in by.items())
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(7)).collect()))
+    assert mixing.mixed(df).select(F.sum(mixing.words(F.col("text")))).first()[0] == sum(r["taken"] for r in got)
+
+
 def test_mixing_cap(spark):
     """Sources with many long documents whose rate is the cap: none gets a copy more."""
     rng = np.random.default_rng(5)
@@ -394,6 +436,8 @@ def test_language(spark, docs, odd, none):
     assert all(h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, h in held.items())
     rows = language.identify(odd).collect()
     assert {r["lang_pred"] for r in rows if r["doc_id"] in (3, 4, 5, 8)} == {"und"} and len(rows) == 13
+    marks = spark.createDataFrame([(1, "\u00bd \u00b2 \u2460 12_\u0663"), (2, "\u00e9"), (3, "\U00010400")], "doc_id long, text string").withColumn("lang", F.lit("en"))
+    assert [r["lang_pred"] == "und" for r in language.identify(marks).orderBy("doc_id").collect()] == [True, False, False]
     assert language.identify(none).count() == 0
     assert language.keep_known(odd).columns == odd.columns
 

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Hashed n-grams of 1 to MAX_N code points; rows of a batch; ridge.
 DIM, MAX_N, BATCH, RIDGE = 8192, 3, 128, 1e-2
-#: The fit takes at most this many labelled rows, split evenly over the languages, and so many landmarks of them.
+#: The fit takes at most this many labelled rows, split evenly over the languages, though one of each, and so many landmarks of them.
 TRAIN_ROWS, LANDMARKS = 1600, 128
 UNKNOWN = "und"
 LEAST_SCORE = 0.25
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _CHUNK = 1 << 20
 
 
@@ -82,13 +82,13 @@ def held_out(id_col: Column) -> Column:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> Model:
     """Fit to a sample of ``docs`` that are labelled and not held out: in each language, rows whose hashed id comes first.
 
-    What comes to the driver is a count for each language and at most twice ``rows`` presence rows of ``DIM`` bits.
+    What comes to the driver is a count for each language and, of ``rows`` rows or one for each language if those are more, about twice as many presence rows of ``DIM`` bits.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and id is not null").where(~held_out(F.col("id")))
     counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return fit([], np.zeros((0, DIM), bool))
-    each = max(4, rows // len(counts))
+    each = max(1, rows // len(counts))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("language"), "id"), 1).cast("double") / float(1 << 63)
     rate = F.create_map(*(F.lit(v) for c, n in counts.items() for v in (c, min(1.0, (each + 3 * each**0.5) / n))))
 

@@ -24,6 +24,25 @@ SENTENCES = {
     "bsd-redistribute": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "apache-title": "apache license version 2 0 january 2004 http www apache org licenses",
+    "apache-terms": "terms and conditions for use reproduction and distribution",
+    "gpl2-title": "gnu general public license version 2 june 1991",
+    "gpl3-title": "gnu general public license version 3 29 june 2007",
+    "lgpl21-title": "gnu lesser general public license version 2 1 february 1999",
+    "lgpl3-title": "gnu lesser general public license version 3 29 june 2007",
+    "agpl3-title": "gnu affero general public license version 3 19 november 2007",
+    "mpl2-title": "mozilla public license version 2 0",
+    "gpl2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "agpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl21-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "mpl2-notice": "this source code form is subject to the terms of the mozilla public license v",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-as-is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "unlicense-free": "this is free and unencumbered software released into the public domain",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
     "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
 }
 #: License, and the sentences that it shows in this order; others may stand between. The first that matches among those with the same first sentence counts.
@@ -40,9 +59,43 @@ RULES = (
     ("CC0-1.0", ("cc0-notice",)),
     ("BSD-3-Clause", ("bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-redistribute", "bsd-source", "bsd-binary")),
+    ("Apache-2.0", ("apache-title", "apache-terms")),
+    ("GPL-2.0", ("gpl2-title",)),
+    ("GPL-3.0", ("gpl3-title",)),
+    ("LGPL-2.1", ("lgpl21-title",)),
+    ("LGPL-3.0", ("lgpl3-title",)),
+    ("AGPL-3.0", ("agpl3-title",)),
+    ("MPL-2.0", ("mpl2-title",)),
+    ("MPL-2.0", ("mpl2-notice",)),
+    ("GPL-2.0-or-later", ("gpl2-free", "gpl-hope")),
+    ("AGPL-3.0-or-later", ("agpl-free", "gpl-hope")),
+    ("LGPL-2.1-or-later", ("lgpl21-free", "lgpl-hope")),
+    ("LGPL-3.0-or-later", ("lgpl3-free", "lgpl-hope")),
+    ("ISC", ("isc-grant", "isc-as-is")),
+    ("Unlicense", ("unlicense-free",)),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
 )
-#: Every known sentence holds one of these; a text with none isn't split at all.
-CUE = r"(?i)licen[sc]|permission|warrant|redistribut|copyright|free software|endorse"
+# Tags that name a license by its identifier, for every license that has a rule.
+for _name in sorted({name for name, _ in RULES}):
+    SENTENCES[f"tag-{_name.lower().replace('.', '-')}"] = " ".join(("spdx license identifier", *_name.lower().replace("-", " ").replace(".", " ").split()))
+    RULES += ((_name, (f"tag-{_name.lower().replace('.', '-')}",)),)
+#: Shorter words aren't cues, unless a sentence has no other.
+CUE_LENGTH = 7
+
+
+def cue(sentences: dict[str, str]) -> str:
+    """A pattern that every text with one of the sentences matches: words of which each sentence holds one, few and long. A text without isn't split at all."""
+    left = {frozenset(s.split()) for s in sentences.values() if s}
+    words = []
+    while left:
+        longest = max(len(w) for s in left for w in s)
+        usable = sorted(w for w in frozenset.union(*left) if len(w) >= min(CUE_LENGTH, longest))
+        best = max(usable, key=lambda w: (sum(w in s for s in left), len(w)))
+        words.append(best)
+        left = {s for s in left if best not in s}
+    return f"(?iu){'|'.join(words) or '(?!)'}"
+
+
 #: Where sentences end: at full stops and the like, and at lines without letters or digits. License texts number conditions and quote "as is", which normalising takes out.
 ENDS = r"(?<![.!?:;])[:;]*+[.!?][.!?:;]*+[\x20\x09-\x0D]++|(?>\x0D\x0A|[\x0A\x0D])(?:[^a-z0-9\x0A\x0D]*+(?>\x0D\x0A|[\x0A\x0D]))++"
 #: Where sentences may end or go on: texts are wrapped, and colons stand within sentences too.
@@ -68,7 +121,7 @@ def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sentences:
     """
     known = F.create_map(*(F.lit(v) for name, s in sentences.items() for v in (s, name)))
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    ids = F.when(F.rlike(t, F.lit(CUE)), F.transform(F.regexp_extract_all(_normal(t), F.lit(_pattern(sentences)), F.lit(0)), lambda s: F.try_element_at(known, F.regexp_replace(s, "[ ~]+", " ")))).otherwise(F.array().cast("array<string>"))
+    ids = F.when(F.rlike(t, F.lit(cue(sentences))), F.transform(F.regexp_extract_all(_normal(t), F.lit(_pattern(sentences)), F.lit(0)), lambda s: F.try_element_at(known, F.regexp_replace(s, "[ ~]+", " ")))).otherwise(F.array().cast("array<string>"))
     row = docs.select(F.col(id_col).cast("long").alias("doc_id"), ids.alias("sentences"))
     joined = F.concat(F.lit(","), F.array_join("sentences", ","), F.lit(","))
     hits = []

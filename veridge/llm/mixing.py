@@ -73,9 +73,25 @@ def tilts(cells: DataFrame, targets: DataFrame, most: float = MOST, tolerance: f
     return state.drop("lo", "hi", "done")
 
 
-def _draw(*ids: Column) -> Column:
-    """A repeatable number from 0 up to 1 for a document."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), *ids), 11).cast("double") / float(1 << 53)
+def _measures(text: Column, id_col: Column, source: Column) -> list[Column]:
+    """Id, source, size, and a hash that only rows share that are equal in these and in the text."""
+    t = text.cast("string")
+    own = [id_col.cast("long").alias("doc_id"), source.cast("string").alias("source"), words(t).alias("size")]
+    return [*own, F.xxhash64(F.lit("mix"), id_col.cast("long"), F.lit("|"), source.cast("string"), F.lit("|"), t).alias("same")]
+
+
+def _drawn(rows: DataFrame) -> DataFrame:
+    """``rows`` with a repeatable ``draw`` from 0 up to 1. Rows that share ``same`` are numbered, in whatever order, so that each has a draw of its own and together they have the same in every run. One range of equal rows can span tasks."""
+    many = written(rows.groupBy("same").agg(F.count("*").alias("n")).where("n > 1").select("same"))
+    if many.take(1):
+        ties = ranked(rows.join(many, "same", "left_semi").withColumn("__tie", F.monotonically_increasing_id()), [F.col("same"), F.col("__tie")], "__place").drop("__tie")
+        ties = written(ties)
+        first = ties.groupBy("same").agg(F.min("__place").alias("__first"))
+        numbered = ties.join(first, "same").withColumn("nth", F.col("__place") - F.col("__first")).select(*rows.columns, "nth")
+        rows = rows.join(many, "same", "left_anti").select(*rows.columns).withColumn("nth", F.lit(0).cast("long")).union(numbered)
+    else:
+        rows = rows.withColumn("nth", F.lit(0).cast("long"))
+    return rows.withColumn("draw", F.shiftrightunsigned(F.xxhash64("same", "nth"), 11).cast("double") / float(1 << 53)).drop("nth")
 
 
 def _spread(params: DataFrame, docs: DataFrame, most: float) -> tuple[DataFrame, Column, Column]:
@@ -123,12 +139,8 @@ def rounding(docs: DataFrame, params: DataFrame, most: float = MOST) -> DataFram
     return written(p.join(x, F.col("p.source").eqNullSafe(F.col("x.source")), "left").select("p.*", "part_v", "part_doc"))
 
 
-def _measures(text: Column, id_col: Column, source: Column) -> list[Column]:
-    return [id_col.cast("long").alias("doc_id"), source.cast("string").alias("source"), words(text.cast("string")).alias("size")]
-
-
 def _sized(docs: DataFrame, text: str, id_col: str, source: str) -> DataFrame:
-    return docs.select(*_measures(F.col(text), F.col(id_col), F.col(source))).withColumn("draw", _draw(F.col("doc_id"), F.col("size")))
+    return written(_drawn(written(docs.select(*_measures(F.col(text), F.col(id_col), F.col(source))))))
 
 
 def _plan(sized: DataFrame, weights: tuple, share: float, most: float) -> DataFrame:
@@ -150,21 +162,21 @@ def _decided(sized: DataFrame, plan: DataFrame, most: float) -> DataFrame:
 def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """``(doc_id, size, source_size, target, copies, part, taken)`` for every row of ``docs``: how often the mix takes it whole, how many words it takes beyond that, and all words.
 
-    Sizes count words of whole texts; a null or empty text has none and isn't taken. Null sources are a source, the last. Rows with the same id and size are decided alike. An empty table gives no rows. Per source the only grouped state is a sum, a histogram of at most twice ``BINS`` draws, or one row for each distinct size. Other columns aren't read.
+    Sizes count words of whole texts; a null or empty text has none and isn't taken. Null sources are a source, the last. Rows that repeat an id, a text or both are decided one by one; rows equal in all are taken as often together in every run. An empty table gives no rows. Per source the only grouped state is a sum, a histogram of at most twice ``BINS`` draws, or one row for each distinct size. Other columns aren't read.
     """
-    sized = written(_sized(docs, text, id_col, source))
+    sized = _sized(docs, text, id_col, source)
     return _decided(sized, _plan(sized, weights, share, most), most).select("doc_id", "size", "source_size", "target", "copies", "part", (F.col("copies") * F.col("size") + F.col("part")).alias("taken"))
 
 
 def mixed(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The mix itself: rows of ``docs``, with all their columns, repeated as often as they are taken; a part is the row with its first words only.
 
-    Documents without words aren't in it. Texts aren't shuffled: they meet their source's parameters, one row a source.
+    Documents without words aren't in it. Texts aren't shuffled, but for those of rows that repeat an id and text: they meet their source's parameters, one row a source.
     """
-    plan = _plan(written(_sized(docs, text, id_col, source)), weights, share, most)
+    plan = _plan(_sized(docs, text, id_col, source), weights, share, most)
     row = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"))
     sized = row.select("row", *_measures(*(F.col(f"row.{c}") for c in (text, id_col, source))))
-    decided = _decided(sized.withColumn("draw", _draw(F.col("doc_id"), F.col("size"))), plan, most)
+    decided = _decided(_drawn(sized), plan, most)
     count = F.concat(F.lit(r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("part").cast("string"), F.lit("}+"))
     head = F.call_function("regexp_extract", F.col(f"row.{text}").cast("string"), count, F.lit(0))
     whole = F.array_repeat(F.lit(False), F.col("copies").cast("int"))

@@ -131,10 +131,13 @@ shown AS (
   SELECT o.conv_id, perspective, turn, speaker, text,
     CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS as_role
   FROM own o JOIN sides s ON o.conv_id IS NOT DISTINCT FROM s.conv_id),
-r AS (
-  SELECT *, '<|' || as_role || CASE WHEN as_role = 'user' THEN ' name=' || speaker ELSE '' END || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered
-  FROM shown)
-SELECT conv_id, perspective, turn, speaker, as_role, rendered, CAST(as_role = 'assistant' AS INTEGER) AS mask, CAST(length(rendered) AS BIGINT) AS n_chars
+h AS (
+  SELECT *, '<|' || as_role || CASE WHEN as_role = 'user' THEN ' name=' || replace(replace(speaker, '<|', '<\\|'), '|>', '|\\>') ELSE '' END || '|>' || chr(10) AS head
+  FROM shown),
+r AS (SELECT *, head || replace(replace(text, '<|', '<\\|'), '|>', '|\\>') || '<|end|>' || chr(10) AS rendered FROM h)
+SELECT conv_id, perspective, turn, speaker, as_role, rendered, CAST(as_role = 'assistant' AS INTEGER) AS mask,
+  CASE WHEN as_role = 'assistant' THEN length(head) ELSE 0 END AS learn_from,
+  CASE WHEN as_role = 'assistant' THEN length(rendered) - 1 ELSE 0 END AS learn_to, CAST(length(rendered) AS BIGINT) AS n_chars
 FROM r"""
 
 _TOPK_SQL = """

@@ -22,7 +22,7 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embeddi
     """``(vec_id, v)``: floor(scale * x) of each component x as a double. Rows that are null, or hold a null or non-finite component or no id, are left out; of rows with one id the smallest vector stays."""
     x = F.col(vector).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull()).where(F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
-    return rows.groupBy("vec_id").agg(F.min("x").alias("x")).select("vec_id", F.transform("x", lambda c: F.floor(c * scale).cast("double")).alias("v"))
+    return rows.groupBy("vec_id").agg(F.min("x").alias("x")).select("vec_id", F.transform("x", lambda c: F.when(F.abs(c * scale) < float(_EXACT), F.floor(c * scale).cast("double")).otherwise(c * scale)).alias("v"))
 
 
 class BallTree:
