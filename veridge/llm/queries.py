@@ -66,6 +66,12 @@ def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def media_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packet table of the files that op6 reads back."""
+    rows = matroska.packet_table(matroska.store(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "packet", "track", "nanoseconds", (F.col("end_byte") - F.col("first_byte")).alias("size"), "key", "cluster")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack.pack(table(spark, sf_dir, "documents"), vocabulary())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -92,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op1_simhash, op2_license, op3_chat, op4_pii, op5_topk, op6_matroska, op7_packing, op8_mixing, op9_suffix, op10_language, pipeline)
+    each = (op1_simhash, op2_license, op3_chat, op4_pii, op5_topk, op6_matroska, op7_packing, op8_mixing, op9_suffix, op10_language, media_packets, pipeline)
     return {f.__name__: partial(_at, f) for f in each}
 
 
@@ -140,6 +146,12 @@ SELECT conv_id, perspective, turn, speaker, as_role, rendered, CAST(as_role = 'a
   CASE WHEN as_role = 'assistant' THEN length(rendered) - 1 ELSE 0 END AS learn_to, CAST(length(rendered) AS BIGINT) AS n_chars
 FROM r"""
 
+_PACKETS_SQL = """
+WITH d AS (SELECT doc_id, greatest(1, (octet_length(encode(coalesce(text, ''))) + 575) // 576) AS n FROM documents),
+p AS (SELECT doc_id, unnest(range(n)) AS packet FROM d)
+SELECT doc_id, packet, CAST(1 AS BIGINT) AS track, CAST(packet * 72000000 AS BIGINT) AS nanoseconds, CAST(576 AS BIGINT) AS size, true AS key, packet // 256 AS cluster
+FROM p"""
+
 _TOPK_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
@@ -152,4 +164,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license": _license_sql(), "op3_chat": _CHAT_SQL, "op5_topk": _TOPK_SQL}
+    return {"op2_license": _license_sql(), "op3_chat": _CHAT_SQL, "op5_topk": _TOPK_SQL, "media_packets": _PACKETS_SQL}
