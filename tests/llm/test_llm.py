@@ -57,6 +57,40 @@ def test_simhash(odd, docs, none):
     assert kept.columns == odd.columns and kept.where("doc_id in (1, 2, 6)").count() == 2
 
 
+def test_simhash_links(spark):
+    """A dense group, chains, and pairs of 4 and 5 bits among random fingerprints: components are those of all pairs, links few."""
+    rng = np.random.default_rng(8)
+    signed = lambda x: int(np.uint64(x).astype(np.int64))
+    flip = lambda x, n: x ^ sum(1 << int(i) for i in rng.choice(64, n, replace=False))
+    base, fps = int(rng.integers(1 << 63)), set()
+    dense = {base, *(flip(base, int(k)) for k in rng.integers(1, 4, 400))}
+    for _ in range(200):
+        x = int(rng.integers(1 << 63))
+        fps |= {x, flip(x, 4), flip(x, 5)}
+    for _ in range(20):
+        x = int(rng.integers(1 << 63))
+        for _ in range(6):
+            fps.add(x := flip(x, 4))
+    fps = sorted(fps | dense | {0, (1 << 64) - 1, 15})
+    group = {x: x for x in fps}
+    for i, x in enumerate(fps):
+        for y in fps[:i]:
+            if (x ^ y).bit_count() <= 4 and group[x] != group[y]:
+                old, new = group[x], group[y]
+                group = {k: new if v == old else v for k, v in group.items()}
+    links = simhash.link_fingerprints(spark.createDataFrame([(signed(x),) for x in fps], "fp long")).collect()
+    assert all((int(r["src"]) ^ int(r["dst"])) & ((1 << 64) - 1) and (((int(r["src"]) ^ int(r["dst"])) & ((1 << 64) - 1)).bit_count() <= 4) for r in links)
+    got = {signed(x): signed(x) for x in fps}
+    for r in links:
+        old, new = got[r["src"]], got[r["dst"]]
+        if old != new:
+            got = {k: new if v == old else v for k, v in got.items()}
+    parts = lambda g: {frozenset(k for k in g if g[k] == v) for v in set(g.values())}
+    assert parts(got) == {frozenset(map(signed, s)) for s in parts(group)}
+    inside = {signed(x) for x in dense}
+    assert sum(r["src"] in inside for r in links) <= 15 * len(dense)
+
+
 def test_simhash_repeated_ids(spark):
     """Texts under one id are judged apart, in either order."""
     rows = [(1, "a b c d e f"), (6, "a b c d e f"), (6, "zz"), (7, "yy"), (7, "a b c d e f")]

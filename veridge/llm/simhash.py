@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: block keys propose pairs, pivot distance tables discard, Hamming distance verifies."""
+"""SimHash near-duplicates: buckets of equal blocks bring fingerprints together, distance tables to reference fingerprints discard, Hamming distance verifies."""
 
 from __future__ import annotations
 
@@ -71,23 +71,35 @@ def _distances(fp: str, refs: list[int]):
     return out
 
 
+def _buckets(fps: DataFrame, max_bits: int) -> DataFrame:
+    """``(t, key, fp, head, dh)``: every fingerprint of ``fps`` in each bucket of several, with the bucket's head, one of its members, as its own reference and the distance to it."""
+    keys = F.explode(F.array(*(F.struct(F.lit(t).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(block_masks(max_bits)))))
+    keyed = fps.select("fp", keys.alias("k")).select("fp", "k.t", "k.key")
+    heads = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("fp"), "fp")).alias("h")).where("n > 1").select("t", "key", F.col("h.fp").alias("head"))
+    return keyed.join(heads, ["t", "key"]).select("t", "key", "fp", "head", F.bit_count(F.col("fp").bitwiseXOR(F.col("head"))).cast("byte").alias("dh"))
+
+
 def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``(src, dst)``: pairs of distinct fingerprints, src < dst, that differ in at most ``max_bits`` bits.
+    """``(src, dst)``: links between distinct fingerprints that differ in at most ``max_bits`` bits, enough for the components of all such pairs.
 
-    ``fps`` has a distinct non-null long column fp. A pair comes once: of the masks on which it agrees only the first counts. Pairs of one key meet in an equi-join, which adaptive execution splits when a key is frequent; its condition drops, in this order, repeats, pairs whose coordinates in the pivot table differ by more than ``max_bits``, and pairs that are too far apart in truth.
+    ``fps`` has a distinct non-null long column fp. Fingerprints that are close share a bucket at least. First each bucket's members that are close to its head are linked to it, so that a dense group takes one link a member and bucket; then pairs of a bucket whose ends are in different components still meet. Of these, pairs are discarded by the distance table, first the bucket's own reference, then ``PIVOTS`` common ones, if a coordinate differs by more than ``max_bits``; the rest are verified. A frequent bucket is an equi-join's key, which adaptive execution can split.
     """
-    masks, refs = block_masks(max_bits), pivots()
-    table = fps.select("fp", *(_distances("fp", refs[i : i + 8]).alias(f"d{i // 8}") for i in range(0, len(refs), 8)))
-    keys = F.explode(F.array(*(F.struct(F.lit(t).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks))))
-    keyed = table.select("*", keys.alias("k")).select("fp", *(f"d{i}" for i in range(-(-len(refs) // 8))), "k.t", "k.key")
-    a, b = keyed.alias("a"), keyed.alias("b")
+    refs = pivots()
+    buckets = written(_buckets(fps, max_bits))
+    star = written(buckets.where((F.col("dh") <= max_bits) & (F.col("fp") != F.col("head"))).select(F.least("fp", "head").alias("src"), F.greatest("fp", "head").alias("dst")).distinct())
+    comps = written(connected_components(star)).toDF("fp", "comp")
+    left = written(buckets.join(comps, "fp", "left").select("t", "key", "fp", "dh", F.coalesce("comp", "fp").alias("comp")))
+    several = left.groupBy("t", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("t", "key")
+    table = [_distances("fp", refs[i : i + 8]).alias(f"d{i // 8}") for i in range(0, len(refs), 8)]
+    rest = written(left.join(several, ["t", "key"]).select("*", *table))
+    a, b = rest.alias("a"), rest.alias("b")
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    first = F.coalesce(*(F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(t)) for t, m in enumerate(masks)))
-    cond = (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))
+    cond = (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.comp") != F.col("b.comp")) & (F.abs(F.col("a.dh") - F.col("b.dh")) <= max_bits)
     for i in range(len(refs)):
         byte = [F.shiftrightunsigned(F.col(f"{s}.d{i // 8}"), 8 * (i % 8)).bitwiseAND(F.lit(255)) for s in "ab"]
         cond = cond & (F.abs(byte[0] - byte[1]) <= max_bits)
-    return a.join(b, cond & (F.bit_count(differ) <= max_bits) & (F.col("a.t") == first)).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
+    across = a.join(b, cond & (F.bit_count(differ) <= max_bits)).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
+    return star.union(across.distinct())
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
