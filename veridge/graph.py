@@ -127,16 +127,21 @@ class Graph:
 
     def sample_vertices(self, k: int = 10, seed: int = 0) -> DataFrame:
         """``k`` distinct vertices that have out-edges, by hashed id: ``(id, out_deg)``."""
-        return self.degrees().where("out_deg > 0").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k).select("id", "out_deg")
+        mixed = ((F.col("id") + seed) % 1_000_003 * 2_654_435_761 + 40_503) % 4_294_967_296
+        return self.degrees().where("out_deg > 0").orderBy(mixed, "id").limit(k).select("id", "out_deg")
 
     def prune(self, least: int) -> Graph:
         """Without vertices of out-degree under ``least``, in one pass."""
         return self.induced(self.degrees().where(F.col("out_deg") >= least).select("id"))
 
     def common_neighbours(self) -> DataFrame:
-        """``(src, dst, n_common)``: how many out-neighbours the ends of each edge share, zero too."""
-        a, b, e = self.edges.select(F.col("src").alias("u"), F.col("dst").alias("x")), self.edges.select(F.col("src").alias("v"), F.col("dst").alias("x")), self.edges.select("src", "dst")
-        wedges = e.join(a, F.col("src") == F.col("u")).join(b, (F.col("dst") == F.col("v")) & (a["x"] == b["x"])).groupBy("src", "dst").agg(F.count("*").alias("k"))
+        """``(src, dst, n_common)``: how many out-neighbours the ends of each edge share, zero too. The end of smaller out-degree is expanded, so a hub's edges cost its partners' degrees."""
+        e = self.edges.select("src", "dst")
+        deg = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("deg"))
+        sized = e.join(deg.toDF("src", "ds"), "src").join(deg.toDF("dst", "dd"), "dst")
+        small = F.when(F.col("ds") <= F.col("dd"), F.col("src")).otherwise(F.col("dst"))
+        ends = sized.select("src", "dst", small.alias("u"), F.when(small == F.col("src"), F.col("dst")).otherwise(F.col("src")).alias("w"))
+        wedges = ends.join(e.select(F.col("src").alias("u"), F.col("dst").alias("x")), "u").join(e.select(F.col("src").alias("w"), F.col("dst").alias("x")), ["w", "x"]).groupBy("src", "dst").agg(F.count("*").alias("k"))
         return e.join(wedges, ["src", "dst"], "left").select("src", "dst", F.coalesce("k", F.lit(0)).alias("n_common"))
 
     def with_weights(self) -> Graph:

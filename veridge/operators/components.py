@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridge.runtime import written
+from veridge.runtime import drop_written, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each vertex links its larger neighbours to its smallest neighbour or itself."""
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each vertex links its larger neighbours to its smallest neighbour or itself; and the written smallest."""
     both = edges.union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v")
     least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Each vertex links itself and its smaller neighbours to the smallest of them."""
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each vertex links itself and its smaller neighbours to the smallest of them; and the written smallest."""
     least = written(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v")))
+    return moved.union(least.select("u", F.col("m").alias("v"))), least
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -35,6 +35,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if tuple(now) == mark or not now[0]:
             return cur.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(cur.select(F.col("v"), F.col("v")).distinct())
         mark = tuple(now)
-        large = written(_large_star(cur).where("u <> v").distinct())
-        cur = written(_small_star(large).where("u <> v").distinct())
+        for star in (_large_star, _small_star):
+            moved, least = star(cur)
+            cur = written(moved.where("u <> v").distinct(), instead_of=cur)
+            drop_written(least)
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")

@@ -42,6 +42,29 @@ class Frontier:
         both = act.crossJoin(e.agg(F.count("*").alias("nacte"))).crossJoin(graph.edges.agg(F.count("*").alias("m")))
         return both.select("nactv", "nacte", F.coalesce(F.try_divide((F.col("nactv") + F.col("nacte")).cast("double"), F.col("m")), F.lit(0.0)).alias("density"))
 
+    def intersect(self, other: Frontier) -> Frontier:
+        if self.ids is None or other.ids is None:
+            return Frontier(other.ids if self.ids is None else self.ids)
+        return Frontier(self.ids.join(other.ids, "id", "left_semi"))
+
+    def difference(self, graph: Graph, other: Frontier) -> Frontier:
+        """Vertices of this frontier that aren't in the other; none are if that has all."""
+        own = self.rows(graph)
+        return Frontier(own.where(F.lit(False)) if other.ids is None else own.join(other.ids, "id", "left_anti"))
+
+    def split(self, graph: Graph, left: Frontier, right: Frontier) -> DataFrame:
+        """``(id, part)``: 0 for vertices only in ``left``, 1 for those only in ``right``, 2 for those in both; others of this frontier aren't listed."""
+        mark = lambda f, name: f.rows(graph).distinct().withColumn(name, F.lit(True))
+        rows = self.rows(graph).join(mark(left, "l"), "id", "left").join(mark(right, "r"), "id", "left").where("l or r")
+        return rows.select("id", F.when(F.col("l") & F.col("r"), 2).when(F.col("l"), 0).otherwise(1).alias("part"))
+
+    def is_subset(self, graph: Graph, other: Frontier) -> DataFrame:
+        """``(n_outside, is_subset)``."""
+        return self.difference(graph, other).rows(graph).agg(F.count("*").alias("n_outside")).withColumn("is_subset", F.col("n_outside") == 0)
+
+    def is_empty(self, graph: Graph) -> bool:
+        return not self.rows(graph).take(1)
+
     def contains(self, ids: DataFrame) -> DataFrame:
         return ids if self.ids is None else ids.join(self.ids, "id", "left_semi")
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridge.runtime import ranked
+from veridge.runtime import ranked, written
+
+#: Rows that one task sums in order.
+BLOCK = 65_536
 
 
 def describe(df: DataFrame, x: str) -> DataFrame:
@@ -35,24 +38,68 @@ def analyse_range(df: DataFrame, x: str) -> DataFrame:
 
 
 def prefix_sums(df: DataFrame, order: list[str], x: str) -> DataFrame:
-    """``df`` with ``prefix``, the sum of ``x`` over all rows before in the order, a total one. Rows are ranked in parallel; sums of whole ranges come from one row for each."""
-    rows = ranked(df, [F.col(c) for c in order], "__rank")
-    size = F.floor(F.col("__rank") / 65_536)
-    blocks = rows.groupBy(size.alias("__block")).agg(F.sum(x).alias("__s"))
-    before = blocks.select("__block", F.coalesce(F.sum("__s").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    """``df`` with ``prefix``, the sum of ``x`` over all rows before in the order, a total one. Rows are ranked in parallel and summed in blocks; the blocks' own sums are summed the same way, until they fit one block, so no task holds more than one."""
+    if BLOCK < 2:
+        raise ValueError("blocks have two rows at least")
+    rows = written(ranked(df, [F.col(c) for c in order], "__rank").withColumn("__block", F.floor(F.col("__rank") / BLOCK)))
+    before = _block_sums(rows.groupBy("__block").agg(F.sum(x).alias("__s")), rows.agg(F.max("__block")).first()[0] or 0)
     own = F.coalesce(F.sum(x).over(Window.partitionBy("__block").orderBy("__rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("__block", size).withColumn("__own", own).join(F.broadcast(before), "__block").select(*df.columns, (F.col("__before") + F.col("__own")).alias("prefix"))
+    return rows.withColumn("__own", own).join(before, "__block").select(*df.columns, (F.col("__before") + F.col("__own")).alias("prefix"))
+
 
+def _block_sums(sums: DataFrame, last: int) -> DataFrame:
+    """``(__block, __before)``: what the blocks before each hold, of blocks 0 to ``last``."""
+    over = Window.partitionBy("__up").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    inner = written(sums.withColumn("__up", F.floor(F.col("__block") / BLOCK))).withColumn("__own", F.coalesce(F.sum("__s").over(over), F.lit(0)))
+    if last < BLOCK:
+        return inner.select("__block", F.col("__own").alias("__before"))
+    up = _block_sums(inner.groupBy(F.col("__up").alias("__block")).agg(F.sum("__s").alias("__s")), last // BLOCK).toDF("__up", "__more")
+    return inner.join(up, "__up").select("__block", (F.col("__own") + F.col("__more")).alias("__before"))
 
-def bootstrap_mean(df: DataFrame, x: str, samples: int = 200, seed: int = 0) -> DataFrame:
-    """``(mean, low, high)``: the mean with its 95 % limits over Poisson resamples; each row's weights come from its hash, so nothing is joined or collected."""
-    u = lambda i: F.shiftrightunsigned(F.xxhash64(F.col(x), F.col("__id"), F.lit(seed), i), 11).cast("double") / float(1 << 53)
+
+def _poisson(u: Column) -> Column:
+    """How often a row is drawn: a Poisson number of mean one from a number between 0 and 1."""
     steps, p, total = [], 0.36787944117144233, 0.0
-    for k in range(7):
+    for k in range(12):
         total += p
         steps.append(total)
         p /= k + 1
-    poisson = lambda i: sum((F.when(u(i) > s, 1).otherwise(0) for s in steps), F.lit(0))
-    rows = df.where(F.col(x).isNotNull()).select(x).withColumn("__id", F.monotonically_increasing_id()).select("*", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("i"))
-    means = rows.groupBy("i").agg(F.try_divide(F.sum(F.col(x) * poisson(F.col("i"))), F.sum(poisson(F.col("i")))).alias("m"))
-    return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    return sum((F.when(u > s, 1).otherwise(0) for s in steps), F.lit(0))
+
+
+def _resampled(df: DataFrame, x: str, key: str, samples: int, seed: int) -> list[Column]:
+    """The means of Poisson resamples, all in one aggregate: a row's weights come from a hash of its key that any SQL engine can repeat."""
+    means = []
+    for i in range(samples):
+        h = (F.col(key).cast("long") % 1_000_003 * 7919 + (seed * 1000 + i) * 104_729 + 12_345) % 2_147_483_647
+        for _ in range(2):
+            h = h * 48_271 % 2_147_483_647
+        w = _poisson(h / 2_147_483_647.0)
+        means.append(F.try_divide(F.sum(F.col(x) * w), F.sum(F.when(F.col(x).isNotNull(), w))))
+    return means
+
+
+def bootstrap_mean(df: DataFrame, x: str, key: str, samples: int = 200, seed: int = 0) -> DataFrame:
+    """``(mean, low, high)``: the mean of resampled means with their 95 % limits; one pass, nothing is joined, exploded or collected. Rows that share a key share their weights. No value that isn't null gives nulls."""
+    drawn = df.agg(F.array(*_resampled(df, x, key, samples, seed)).alias("m")).select(F.explode("m").alias("m"))
+    return drawn.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+
+
+def bootstrap_difference(a: DataFrame, b: DataFrame, x: str, key: str, samples: int = 200, seed: int = 0) -> DataFrame:
+    """``(mean, low, high)`` of the difference between the resampled means of two tables, drawn apart."""
+    one = a.agg(F.array(*_resampled(a, x, key, samples, seed)).alias("a"))
+    two = b.agg(F.array(*_resampled(b, x, key, samples, seed + 1)).alias("b"))
+    drawn = one.crossJoin(two).select(F.explode(F.zip_with("a", "b", lambda p, q: p - q)).alias("m"))
+    return drawn.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+
+
+def normalised(df: DataFrame, x: str) -> DataFrame:
+    """``df`` with ``z``, how many standard deviations ``x`` lies from its mean, from one row of statistics."""
+    s = df.agg(F.avg(x).alias("__mean"), F.stddev_samp(x).alias("__sd"))
+    return df.crossJoin(s).select(*df.columns, F.try_divide(F.col(x) - F.col("__mean"), F.col("__sd")).alias("z"))
+
+
+def split_at(df: DataFrame, x: str, at: Column) -> DataFrame:
+    """Count, mean and variance of ``x`` below ``at`` and from it on."""
+    side = lambda p, c: (F.count(F.when(p, F.col(x))).alias(f"n_{c}"), F.avg(F.when(p, F.col(x))).alias(f"mean_{c}"), F.var_samp(F.when(p, F.col(x))).alias(f"var_{c}"))
+    return df.agg(*side(F.col(x) < at, "lt"), *side(F.col(x) >= at, "ge"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veridge.functions.scalar import mex
 from veridge.graph import Graph
 from veridge.operators.components import connected_components
-from veridge.runtime import ranked, written
+from veridge.runtime import drop_written, ranked, written
 
 
 def components(graph: Graph) -> DataFrame:
@@ -27,28 +27,46 @@ def count_unique(labels: DataFrame, label: str) -> DataFrame:
 def coreness(graph: Graph, max_rounds: int = 10_000) -> DataFrame:
     """``(id, coreness)`` of a symmetric graph without self-edges, by lowering each vertex to the h-index of its neighbours until nothing falls.
 
-    A vertex' bound is counted over the (neighbour bound, count) pairs of its edges, summed map-side, so a hub's state is its number of distinct bounds.
+    A round counts anew only vertices with a neighbour whose bound fell. A vertex' bound is counted over the (neighbour bound, count) pairs of its edges, summed map-side, so a hub's state is its number of distinct bounds.
     """
     deg = graph.edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("c"))
     state = written(graph.vertices.select("id").join(deg, "id", "left").select("id", F.coalesce("c", F.lit(0)).alias("c"), F.lit(True).alias("fell")))
-    for _ in range(max_rounds):
+    for k in range(max_rounds):
         if not state.where("fell").take(1):
             return state.select("id", F.col("c").alias("coreness"))
-        pairs = graph.edges.join(state.select(F.col("id").alias("dst"), F.col("c").alias("nc")), "dst").groupBy("src", "nc").agg(F.count("*").alias("k"))
+        edges = graph.edges
+        if k:
+            near = edges.join(state.where("fell").select(F.col("id").alias("dst")), "dst", "left_semi").select("src").distinct()
+            edges = edges.join(near, "src", "left_semi")
+        pairs = edges.join(state.select(F.col("id").alias("dst"), F.col("c").alias("nc")), "dst").groupBy("src", "nc").agg(F.count("*").alias("k"))
         above = F.sum("k").over(Window.partitionBy("src").orderBy(F.col("nc").desc()))
         h = pairs.withColumn("above", above).groupBy(F.col("src").alias("id")).agg(F.max(F.least("nc", "above")).alias("h"))
-        new = F.least("c", F.coalesce("h", F.lit(0)))
-        state = written(state.join(h, "id", "left").select("id", new.alias("c"), (new < F.col("c")).alias("fell")))
+        new = F.least("c", F.coalesce("h", "c"))
+        state = written(state.join(h, "id", "left").select("id", new.alias("c"), (new < F.col("c")).alias("fell")), instead_of=state)
     raise RuntimeError("no fixpoint")
 
 
-def degeneracy_order(graph: Graph, core: DataFrame | None = None, descending: bool = False) -> DataFrame:
-    """``(id, rank)``: vertices by coreness, degree and id."""
-    core = coreness(graph) if core is None else core
+#: Vertex orders: by coreness, degree or both, rising or falling; ids always rise.
+ORDERS = {
+    "core_degree": (("coreness", False), ("deg", False)),
+    "core_degree_desc": (("coreness", True), ("deg", True)),
+    "core_up_degree_down": (("coreness", False), ("deg", True)),
+    "core_down_degree_up": (("coreness", True), ("deg", False)),
+    "core": (("coreness", False),),
+    "core_desc": (("coreness", True),),
+    "degree": (("deg", False),),
+    "degree_desc": (("deg", True),),
+}
+
+
+def degeneracy_order(graph: Graph, core: DataFrame | None = None, by: str = "core_degree") -> DataFrame:
+    """``(id, rank)``: vertices in one of ``ORDERS``, ties by id."""
+    keys = ORDERS[by]
     deg = graph.edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("deg"))
-    rows = core.join(deg, "id", "left").select("id", "coreness", F.coalesce("deg", F.lit(0)).alias("deg"))
-    order = [F.col("coreness").desc(), F.col("deg").desc(), F.col("id")] if descending else [F.col("coreness"), F.col("deg"), F.col("id")]
-    return ranked(rows, order, "rank").select("id", "rank")
+    rows = graph.vertices.select("id").join(deg, "id", "left").select("id", F.coalesce("deg", F.lit(0)).alias("deg"))
+    if any(k == "coreness" for k, _ in keys):
+        rows = rows.join(coreness(graph) if core is None else core, "id")
+    return ranked(rows, [*(F.col(k).desc() if down else F.col(k) for k, down in keys), F.col("id")], "rank").select("id", "rank")
 
 
 def independent_set(graph: Graph, max_rounds: int = 10_000) -> DataFrame:
@@ -62,12 +80,13 @@ def independent_set(graph: Graph, max_rounds: int = 10_000) -> DataFrame:
     for _ in range(max_rounds):
         least = edges.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m"))
         now = written(left.join(least, "id", "left").where("m is null or m > id").select("id"))
-        chosen = now if chosen is None else written(chosen.union(now))
+        chosen = now if chosen is None else written(chosen.union(now), instead_of=chosen)
         gone = written(now.union(edges.join(now.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id"))).distinct())
-        left = written(left.join(gone, "id", "left_anti"))
+        left = written(left.join(gone, "id", "left_anti"), instead_of=left)
         if not left.take(1):
             return chosen
-        edges = written(edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti"))
+        edges = written(edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti"), instead_of=edges)
+        drop_written(gone)
     raise RuntimeError("no fixpoint")
 
 
@@ -79,15 +98,22 @@ def _priority_edges(graph: Graph) -> DataFrame:
 
 
 def colouring(graph: Graph, max_rounds: int = 10_000) -> DataFrame:
-    """``(id, color)``: greedy colours of a symmetric graph in order of degree, largest first, then id, by Jones-Plassmann rounds. A vertex' state is the distinct colours of its parents."""
-    parents = written(_priority_edges(graph))
-    state = written(graph.vertices.select("id", F.lit(None).cast("long").alias("color")))
+    """``(id, color)``: greedy colours of a symmetric graph in order of degree, largest first, then id, by Jones-Plassmann rounds.
+
+    A vertex' state is the distinct colours of its parents. A round reads the edges of vertices without a colour only: those whose parents all have one take theirs and leave.
+    """
+    edges = written(_priority_edges(graph).withColumn("pc", F.lit(None).cast("long")))
+    left, done = written(graph.vertices.select("id")), None
     for _ in range(max_rounds):
-        seen = parents.join(state.toDF("parent", "pc"), "parent").groupBy("id").agg(F.collect_set("pc").alias("used"), F.bool_or(F.col("pc").isNull()).alias("waits"))
-        pick = F.when(F.col("color").isNotNull(), F.col("color")).when(F.coalesce("waits", F.lit(False)), None).otherwise(F.coalesce(mex(F.col("used")).cast("long"), F.lit(0)))
-        state = written(state.join(seen, "id", "left").select("id", pick.alias("color")))
-        if not state.where("color is null").take(1):
-            return state
+        seen = edges.groupBy("id").agg(F.collect_set("pc").alias("used"), F.bool_or(F.col("pc").isNull()).alias("waits"))
+        now = written(left.join(seen, "id", "left").where(~F.coalesce("waits", F.lit(False))).select("id", F.coalesce(mex(F.col("used")).cast("long"), F.lit(0).cast("long")).alias("color")))
+        done = now if done is None else written(done.union(now))
+        left = written(left.join(now, "id", "left_anti"), instead_of=left)
+        if not left.take(1):
+            return done
+        new = now.select(F.col("id").alias("parent"), "color")
+        kept = edges.join(now.select("id"), "id", "left_anti").join(new, "parent", "left").select("id", "parent", F.coalesce("pc", "color").alias("pc"))
+        edges = written(kept, instead_of=edges)
     raise RuntimeError("no fixpoint")
 
 
@@ -100,7 +126,7 @@ def dag_depth(graph: Graph, max_rounds: int = 10_000) -> DataFrame:
             return state.select("id", "depth")
         got = parents.join(state.where("rose").select(F.col("id").alias("parent"), "depth"), "parent").groupBy("id").agg((F.max("depth") + 1).alias("got"))
         new = F.greatest("depth", F.coalesce("got", F.lit(0)))
-        state = written(state.join(got, "id", "left").select("id", new.alias("depth"), (new > F.col("depth")).alias("rose")))
+        state = written(state.join(got, "id", "left").select("id", new.alias("depth"), (new > F.col("depth")).alias("rose")), instead_of=state)
     raise RuntimeError("no fixpoint: the graph changed")
 
 
@@ -126,6 +152,21 @@ def degree_two_chains(graph: Graph) -> DataFrame:
     return components(graph.induced(two)).withColumnRenamed("comp", "chain")
 
 
+def stars(graph: Graph) -> DataFrame:
+    """``(centre, leaf)``: vertices of degree one by their only neighbour, for contraction; of two that have only each other the smaller is the centre."""
+    deg = graph.degrees()
+    one = deg.where("out_deg = 1").select(F.col("id").alias("leaf"))
+    rows = graph.edges.where("src <> dst").join(one, F.col("src") == F.col("leaf"), "left_semi").select(F.col("dst").alias("centre"), F.col("src").alias("leaf"))
+    pairs = rows.select(F.col("leaf").alias("centre"), F.col("centre").alias("leaf"))
+    return rows.where("centre < leaf").union(rows.where("centre > leaf").join(pairs, ["centre", "leaf"], "left_anti"))
+
+
+def edge_cover(graph: Graph) -> DataFrame:
+    """``(src, dst)``: edges that touch every vertex that has one: each vertex' edge to its smallest neighbour, once."""
+    least = graph.edges.where("src <> dst").groupBy("src").agg(F.min("dst").alias("dst"))
+    return least.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
 # -- checks: each gives counts of violations ---------------------------------------------------------------------------------------
 
 

@@ -45,7 +45,7 @@ def sssp(graph: Graph, start: int = 0, delta: float | None = None) -> DataFrame:
         got = graph.edges.join(active, "src").groupBy("dst").agg(F.min(F.col("dist") + F.col("weight")).alias("got")).withColumnRenamed("dst", "id")
         better = F.col("got").isNotNull() & (F.col("dist").isNull() | (F.col("got") < F.col("dist")))
         waits = F.lit(False) if delta is None else F.col("todo") & ~limit
-        state = written(state.join(got, "id", "left").select("id", F.when(better, F.col("got")).otherwise(F.col("dist")).alias("dist"), (better | waits).alias("todo")))
+        state = written(state.join(got, "id", "left").select("id", F.when(better, F.col("got")).otherwise(F.col("dist")).alias("dist"), (better | waits).alias("todo")), instead_of=state)
     raise RuntimeError("distances keep falling: a negative cycle")
 
 
@@ -60,22 +60,23 @@ def _with_degree(graph: Graph) -> DataFrame:
     return graph.vertices.select("id").join(deg, "id", "left").select("id", F.coalesce("deg", F.lit(0)).alias("deg"))
 
 
-def pagerank(graph: Graph, rounds: int = 100, tolerance: float = 1e-7, damping: float = DAMPING, quantise: Callable[[Column], Column] | None = None, start: DataFrame | None = None) -> DataFrame:
+def pagerank(graph: Graph, rounds: int = 100, tolerance: float = 1e-7, damping: float = DAMPING, quantise: Callable[[Column], Column] | list | None = None, start: DataFrame | None = None) -> DataFrame:
     """``(id, pr)``: ranks that sum to one. What sinks and teleporting take is shared evenly each round.
 
-    Stops after ``rounds``, or when the sum of changes is at most ``tolerance``; a negative tolerance gives exactly ``rounds``. ``quantise`` is put on contributions, for reduced precision. ``start`` (id, pr) replaces the even start.
+    Stops after ``rounds``, or when the sum of changes is at most ``tolerance``; a negative tolerance gives exactly ``rounds``. ``quantise`` is put on contributions, for reduced precision; several precisions in stages are a list of (first round, function), the first from round 0. ``start`` (id, pr) replaces the even start.
     """
     base = _with_degree(graph)
     n = graph.vertices.count()
     if not n:
         return base.select("id", F.lit(None).cast("double").alias("pr"))
     first = base.withColumn("pr", F.lit(1.0 / n)) if start is None else base.join(start, "id", "left").fillna(0.0, ["pr"])
-    state = written(first)
-    q = quantise or (lambda c: c)
-    for _ in range(rounds):
+    state = held = written(first)
+    stages = quantise if isinstance(quantise, (list, tuple)) else [(0, quantise or (lambda c: c))]
+    for k in range(rounds):
+        q = [f for since, f in stages if since <= k][-1]
         out = state.where("deg > 0").select(F.col("id").alias("src"), q(damping * F.col("pr") / F.col("deg")).alias("c"))
         y = graph.edges.join(out, "src").groupBy("dst").agg(F.sum("c").alias("y")).withColumnRenamed("dst", "id")
-        raw = written(state.join(y, "id", "left").select("id", "deg", F.col("pr").alias("old"), F.coalesce("y", F.lit(0.0)).alias("y")))
+        raw = held = written(state.join(y, "id", "left").select("id", "deg", F.col("pr").alias("old"), F.coalesce("y", F.lit(0.0)).alias("y")), instead_of=held)
         total = raw.agg(F.sum("y")).first()[0]
         even = (1 - total) / n
         state = raw.select("id", "deg", (F.col("y") + even).alias("pr"), "old")
@@ -86,7 +87,7 @@ def pagerank(graph: Graph, rounds: int = 100, tolerance: float = 1e-7, damping:
     return state.select("id", "pr")
 
 
-def accelerated_pagerank(graph: Graph, rounds: int = 100, tolerance: float = 1e-7, damping: float = DAMPING, quantise: Callable[[Column], Column] | None = None) -> DataFrame:
+def accelerated_pagerank(graph: Graph, rounds: int = 100, tolerance: float = 1e-7, damping: float = DAMPING, quantise: Callable[[Column], Column] | list | None = None) -> DataFrame:
     """``(id, x)``: PageRank by passing on changes; vertices whose change is over a hundredth of their rank are active. Ranks are scaled to a sum of one at the end.
 
     When more than 0.6 of vertices and their edges against all edges are active, all vertices pass on.
@@ -94,8 +95,9 @@ def accelerated_pagerank(graph: Graph, rounds: int = 100, tolerance: float = 1e-
     n, m = graph.vertices.count(), graph.edges.count()
     state = _with_degree(graph).withColumns({"x": F.lit(0.0), "delta": F.lit(1.0 / max(n, 1)), "act": F.lit(True)})
     state = written(state)
-    q = quantise or (lambda c: c)
+    stages = quantise if isinstance(quantise, (list, tuple)) else [(0, quantise or (lambda c: c))]
     for k in range(rounds):
+        q = [f for since, f in stages if since <= k][-1]
         s = state.agg(F.sum(F.when(F.col("act"), 1 + F.col("deg")).otherwise(0)), F.sum(F.abs("delta"))).first()
         if not n or k and s[1] < tolerance:
             break
@@ -107,7 +109,7 @@ def accelerated_pagerank(graph: Graph, rounds: int = 100, tolerance: float = 1e-
             got = got.withColumn("d", F.col("d") + (1 - damping) / n).withColumn("x", F.col("x") + F.col("d")).withColumn("delta", F.col("d") - 1.0 / n).withColumn("act", F.abs("delta") > 0.01 * F.col("x"))
         else:
             got = got.withColumn("delta", F.col("d")).withColumn("act", F.abs("delta") > 0.01 * F.col("x")).withColumn("x", F.when(F.col("act"), F.col("x") + F.col("delta")).otherwise(F.col("x")))
-        state = written(got.select("id", "deg", "x", "delta", "act"))
+        state = written(got.select("id", "deg", "x", "delta", "act"), instead_of=state)
     total = state.agg(F.sum(F.abs("x"))).first()[0] or 1.0
     return state.select("id", (F.col("x") / total).alias("x"))
 
@@ -141,7 +143,7 @@ def belief_propagation(graph: Graph, prior: DataFrame, coupling: tuple = ((0.9,
         sent = graph.edges.join(state.select(F.col("id").alias("src"), F.log(m0 / (m0 + m1)).alias("l0"), F.log(m1 / (m0 + m1)).alias("l1")), "src")
         got = sent.groupBy(F.col("dst").alias("id")).agg(F.sum("l0").alias("s0"), F.sum("l1").alias("s1"))
         w = state.join(got, "id", "left").withColumn("odds", (F.log("p1") + F.coalesce("s1", F.lit(0.0))) - (F.log("p0") + F.coalesce("s0", F.lit(0.0))))
-        state = written(w.select("id", (1 / (1 + F.exp("odds"))).alias("b0"), (1 / (1 + F.exp(-F.col("odds")))).alias("b1"), "p0", "p1"))
+        state = written(w.select("id", (1 / (1 + F.exp("odds"))).alias("b0"), (1 / (1 + F.exp(-F.col("odds")))).alias("b1"), "p0", "p1"), instead_of=state)
     return state.select("id", "b0", "b1")
 
 
@@ -165,7 +167,7 @@ def radius(graph: Graph, max_rounds: int = 256) -> DataFrame:
             break
         got = graph.edges.join(state.where("changed").select(F.col("id").alias("src"), "mask"), "src").groupBy(F.col("dst").alias("id")).agg(F.bit_or("mask").alias("got"))
         new = F.col("mask").bitwiseOR(F.coalesce("got", F.lit(0)))
-        state = written(state.join(got, "id", "left").select("id", new.alias("mask"), (new != F.col("mask")).alias("changed")))
+        state = written(state.join(got, "id", "left").select("id", new.alias("mask"), (new != F.col("mask")).alias("changed")), instead_of=state)
     return spark.createDataFrame(out, "iteration long, n_changed long, neighbourhood double")
 
 

@@ -24,15 +24,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
+def written(df: DataFrame, compression: str = "zstd", instead_of: DataFrame | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    This cuts the lineage and survives lost executors. Unlike ``checkpoint()`` it is columnar and compressed, and the copy has file sizes from which the planner sees what is small enough to broadcast.
+    This cuts the lineage and survives lost executors. Unlike ``checkpoint()`` it is columnar and compressed, and the copy has file sizes from which the planner sees what is small enough to broadcast. ``instead_of``, a table that was written before and that nothing but ``df`` reads, is deleted once ``df`` is whole, so that a loop keeps no more than its last state.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    if instead_of is not None:
+        drop_written(instead_of)
+    return out
+
+
+def drop_written(df: DataFrame) -> None:
+    """Delete what ``written`` wrote for ``df``; other tables stay."""
+    path = getattr(df, "_written_to", None)
+    if path:
+        spark = df.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

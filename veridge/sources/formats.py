@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridge.graph import Graph
+from veridge.operators.statistics import prefix_sums
 from veridge.runtime import ranked, written
 
 #: Ids that one task decodes.
@@ -34,14 +36,38 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def _slab(spark: SparkSession, path: str, first: int, n: int, kind: str, name: str) -> DataFrame:
-    """``(eid, name)``: n numbers from byte ``first``, read as four-byte words, which Spark splits between tasks; eight-byte numbers are two words."""
-    import struct
+def _size(spark: SparkSession, path: str) -> int:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
+
+
+def _record(size: int) -> int:
+    """The largest record of whole words, a mebibyte at most, of which a file of ``size`` bytes has a whole number."""
+    words, best = size // 4, 1
+    for d in range(1, math.isqrt(words) + 1):
+        if words % d == 0:
+            best = max([best, *(x for x in (d, words // d) if x <= CHUNK // 4)])
+    return 4 * best
 
-    words, start = np.dtype(kind).itemsize // 4, first // 4
-    code = "<f" if kind[1] == "f" else "<I"
-    rows = spark.sparkContext.binaryRecords(path, 4).zipWithIndex().filter(lambda r: start <= r[1] < start + n * words).map(lambda r: (r[1] - start, struct.unpack(code, r[0])[0]))
-    df = spark.createDataFrame(rows, f"word long, x {'double' if code == '<f' else 'long'}")
+
+def _slab(spark: SparkSession, path: str, first: int, n: int, kind: str, name: str) -> DataFrame:
+    """``(eid, name)``: n numbers from byte ``first``. Spark's fixed-length records split the file between tasks; their bytes are decoded by the batch, as four-byte words, of which eight-byte numbers have two."""
+    size = _size(spark, path)
+    if size % 4:
+        raise ValueError(f"{path} isn't made of four-byte words")
+    length, words, start = _record(size), np.dtype(kind).itemsize // 4, first // 4
+    code = np.dtype("<f4" if kind[1] == "f" else "<u4")
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                at = (pdf["i"].to_numpy()[:, None] * (length // 4) + np.arange(length // 4)).ravel() - start
+                x = np.frombuffer(b"".join(pdf["data"]), code)
+                own = (at >= 0) & (at < n * words)
+                yield pd.DataFrame({"word": at[own], "x": x[own]})
+
+    rows = spark.createDataFrame(spark.sparkContext.binaryRecords(path, length).zipWithIndex(), "data binary, i long")
+    df = rows.mapInPandas(decode, f"word long, x {'double' if code.kind == 'f' else 'long'}")
     if words == 1:
         return df.select(F.col("word").alias("eid"), F.col("x").alias(name))
     part = F.when(F.col("word") % 2 == 1, F.shiftleft("x", 32)).otherwise(F.col("x"))
@@ -49,16 +75,16 @@ def _slab(spark: SparkSession, path: str, first: int, n: int, kind: str, name: s
 
 
 def _from_slabs(index: DataFrame, targets: DataFrame, n: int, m: int, weights: DataFrame | None, symmetric: bool) -> Graph:
-    """A graph from row starts (eid: vertex, at) and targets (eid, dst). Starts and positions meet in one sort: the last start at or before a position is its source."""
+    """A graph from row starts (eid: vertex, at) and targets (eid, dst). A vertex' start and the next one's give the positions of its edges, which meet the targets by position."""
     spark = targets.sparkSession
     nxt = index.select((F.col("eid") - 1).alias("eid"), F.col("at").alias("end"))
     rows = index.join(nxt, "eid", "left").select(F.col("eid").alias("src"), "at", F.coalesce("end", F.lit(m)).alias("end")).where(f"src < {n} and at < end")
     block = F.floor(F.col("at") / CHUNK)
+    # a hub's positions are listed in blocks, so that none makes one huge array
     spans = rows.withColumn("block", F.explode(F.sequence(block, F.floor((F.col("end") - 1) / CHUNK))))
-    hit = targets.withColumn("block", F.floor(F.col("eid") / CHUNK)).withColumnRenamed("eid", "pos")
-    starts = spans.select("block", F.greatest("at", F.col("block") * CHUNK).alias("from"), F.least("end", (F.col("block") + 1) * CHUNK).alias("to"), "src")
-    pos = starts.select("src", F.explode(F.sequence("from", F.col("to") - 1)).alias("pos"))
-    edges = pos.join(hit.drop("block"), "pos").select(F.col("pos").alias("eid"), "src", "dst")
+    starts = spans.select(F.greatest("at", F.col("block") * CHUNK).alias("from"), F.least("end", (F.col("block") + 1) * CHUNK).alias("to"), "src")
+    pos = starts.select("src", F.explode(F.sequence("from", F.col("to") - 1)).alias("eid"))
+    edges = pos.join(targets, "eid")
     if weights is not None:
         edges = edges.join(weights, "eid")
     return Graph(spark.range(n).toDF("id"), edges.drop("eid"), symmetric)
@@ -97,6 +123,8 @@ def load_graph(spark: SparkSession, path: str, **options) -> Graph:
         return read_adjacency(spark, path, **options)
     if head[:1] in b"\x02\x03" and head[1:8] == bytes(7):
         return read_binary(spark, path, **options)
+    if head[:8] == b"\x01" + bytes(7) and len(head) >= 24:
+        return read_galois(spark, path, **options)
     return read_edge_list(spark, path, **options)
 
 
@@ -159,16 +187,107 @@ def write_matrix_market(graph: Graph, path: str) -> None:
     head.union(body).repartitionByRange("o").sortWithinPartitions("o").select("value").write.text(path)
 
 
-def write_grazelle(graph: Graph, path: str, pull: bool = False) -> bytes:
-    """Heading and pairs of 64-bit numbers, in parts of ``(part, data)`` rows as Parquet; returns the heading."""
-    a, b = ("dst", "src") if pull else ("src", "dst")
+# -- files of one piece: their parts are made by tasks, in order, and streamed through the driver, a partition at a time -----------
+
+
+def _encoded(df: DataFrame, order: list[str], encode: Callable[[pd.DataFrame], bytes]) -> DataFrame:
+    """``(part, nth, data)``: rows of ``df`` in order, encoded by the batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        for nth, pdf in enumerate(batches):
+            yield pd.DataFrame({"part": [part], "nth": [nth], "data": [encode(pdf)]})
+
+    rows = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    return written(rows.mapInPandas(run, "part int, nth int, data binary"))
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"data": [pdf[[a, b]].to_numpy("<u8").tobytes()]})
 
-    graph.edges.select("src", "dst").repartitionByRange(a, b).sortWithinPartitions(a, b).mapInPandas(encode, "data binary").write.parquet(path)
-    return np.array([graph.vertices.count(), graph.edges.count()], "<u8").tobytes()
+def _stream(spark: SparkSession, path: str, *pieces: bytes | DataFrame) -> None:
+    """Write bytes and encoded parts, one after the other, to one file of any of Spark's file systems. What is in memory is a partition's bytes."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        for piece in pieces:
+            if isinstance(piece, bytes):
+                out.write(bytearray(piece))
+                continue
+            for row in piece.repartitionByRange("part", "nth").sortWithinPartitions("part", "nth").toLocalIterator():
+                for at in range(0, len(row["data"]), CHUNK):
+                    out.write(bytearray(row["data"][at : at + CHUNK]))
+    finally:
+        out.close()
+
+
+def _numbers(df: DataFrame, order: list[str], column: str, kind: str) -> DataFrame:
+    return _encoded(df, order, lambda pdf: pdf[column].to_numpy().astype(kind).tobytes())
+
+
+def _slabs(graph: Graph) -> tuple[int, int, DataFrame, DataFrame]:
+    """n, m, row starts (id, prefix) and edges of a graph whose vertices are 0 to n - 1; other ids are an error."""
+    n, low, high = graph.vertices.agg(F.count("*"), F.min("id"), F.max("id")).first()
+    if n and (low != 0 or high != n - 1):
+        raise ValueError("vertices aren't numbered from 0; see Graph.cleaned and Graph.relabelled")
+    edges = written(graph.edges)
+    deg = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("deg"))
+    rows = graph.vertices.select("id").join(deg, "id", "left").select("id", F.coalesce("deg", F.lit(0)).alias("deg"))
+    return n, edges.count(), prefix_sums(rows, ["id"], "deg").select("id", "prefix"), edges
+
+
+def write_binary(graph: Graph, path: str, version: int = 2, weights: str | None = None) -> None:
+    """One file of version 2, or 3, which closes row starts with m. Targets are 32-bit, row starts 64-bit; ``weights`` gets the weights as 32-bit floats."""
+    if version not in (2, 3):
+        raise ValueError(f"version {version}")
+    spark = graph.edges.sparkSession
+    n, m, starts, edges = _slabs(graph)
+    head = np.array([version, 1, n, m, 4, 8, 0, 0], "<u8").tobytes()
+    end = np.array([m] if version == 3 else [], "<u8").tobytes()
+    _stream(spark, path, head, _numbers(starts, ["id"], "prefix", "<u8"), end, _numbers(edges, ["src", "dst"], "dst", "<u4"))
+    if weights:
+        _stream(spark, weights, _numbers(edges, ["src", "dst"], "weight", "<f4"))
+
+
+def write_config(graph: Graph, path: str) -> None:
+    """Version 4: ``path.cfg`` beside its slabs ``path.index``, ``path.edges`` and, of weighted graphs, ``path.weights``."""
+    spark, name = graph.edges.sparkSession, path.rsplit("/", 1)[-1]
+    n, m, starts, edges = _slabs(graph)
+    weighted = "weight" in edges.columns
+    _stream(spark, f"{path}.index", _numbers(starts, ["id"], "prefix", "<u8"))
+    _stream(spark, f"{path}.edges", _numbers(edges, ["src", "dst"], "dst", "<u4"))
+    if weighted:
+        _stream(spark, f"{path}.weights", _numbers(edges, ["src", "dst"], "weight", "<f4"))
+    lines = {"version": 4, "num_vertices": n, "num_edges": m, "vid_size": 4, "eid_size": 8, "symmetric": str(graph.symmetric).lower(), "index": f'"{name}.index"', "edges": f'"{name}.edges"'} | ({"vertex_weights": f'"{name}.weights"'} if weighted else {})
+    _stream(spark, f"{path}.cfg", "".join(f"{k} = {v};\n" for k, v in lines.items()).encode())
+
+
+def write_adjacency(graph: Graph, path: str) -> None:
+    """Text adjacency in one file: heading, n, m, row starts, targets and, of weighted graphs, weights."""
+    n, m, starts, edges = _slabs(graph)
+    weighted = "weight" in edges.columns
+    lines = lambda df, order, column: _encoded(df, order, lambda pdf: "".join(f"{x}\n" for x in pdf[column]).encode())
+    head = f"{'Weighted' if weighted else ''}AdjacencyGraph\n{n}\n{m}\n".encode()
+    _stream(graph.edges.sparkSession, path, head, lines(starts, ["id"], "prefix"), lines(edges, ["src", "dst"], "dst"), *([lines(edges, ["src", "dst"], "weight")] if weighted else []))
+
+
+def write_grazelle(graph: Graph, path: str, pull: bool = False) -> None:
+    """One file of 64-bit numbers: vertices, edges, then a pair for each edge, by source or, for ``pull``, by destination first."""
+    a, b = ("dst", "src") if pull else ("src", "dst")
+    n, m = graph.vertices.count(), graph.edges.count()
+    pairs = _encoded(graph.edges.select("src", "dst"), [a, b], lambda pdf: pdf[[a, b]].to_numpy("<u8").tobytes())
+    _stream(graph.edges.sparkSession, path, np.array([n, m], "<u8").tobytes(), pairs)
+
+
+def read_galois(spark: SparkSession, path: str, symmetric: bool = False) -> Graph:
+    """A file of version 1: four 64-bit numbers (1, bytes of an edge's weight, n, m), row ends, 32-bit targets padded to a whole number of pairs, and 32-bit weights if there are any."""
+    version, wide, n, m = np.frombuffer(_bytes(spark, path, 0, 32), "<u8").tolist()
+    if version != 1 or wide not in (0, 4):
+        raise ValueError(f"version {version}, weights of {wide} bytes")
+    ends = _slab(spark, path, 32, n, "<u8", "at").select((F.col("eid") + 1).alias("eid"), "at")
+    starts = ends.union(spark.createDataFrame([(0, 0)], "eid long, at long"))
+    first = 32 + 8 * n
+    weights = _slab(spark, path, first + 4 * (m + m % 2), m, "<f4", "weight") if wide else None
+    return _from_slabs(starts, _slab(spark, path, first, m, "<u4", "dst"), n, m, weights, symmetric)
 
 
 def read_property(spark: SparkSession, path: str, kind: str = "double") -> DataFrame:
