@@ -82,3 +82,103 @@ def test_files(spark, tmp_path):
         assert {(r["src"], r["dst"]) for r in formats.load_graph(spark, f"file://{tmp_path}/{name}").edges.collect()} == edges, name
     got = formats.load_graph(spark, f"file://{tmp_path}/g.mtx")
     assert {(r["src"], r["dst"]) for r in got.edges.collect()} == edges | {(b, a) for a, b in edges}
+
+
+def brute_cliques(n, edges):
+    """Sizes of maximal cliques, by growing all cliques."""
+    nb = {v: set() for v in range(n)}
+    for a, b in edges:
+        nb[a].add(b)
+        nb[b].add(a)
+    level, hist = {frozenset((a, b)) for a, b in edges}, {}
+    while level:
+        bigger = set()
+        for c in level:
+            more = set.intersection(*(nb[v] for v in c))
+            bigger |= {c | {v} for v in more}
+            if not more:
+                hist[len(c)] = hist.get(len(c), 0) + 1
+        level = bigger
+    return hist
+
+
+def random_edges(n, p, seed):
+    rng = np.random.default_rng(seed)
+    return [(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < p]
+
+
+def test_cliques(spark):
+    """Random graphs against brute force, beside a star that many leaves share."""
+    for n, p, seed in ((24, 0.5, 1), (30, 0.25, 2)):
+        edges = [*random_edges(n, p, seed), *((0, v) for v in range(n, n + 300))]
+        g, hist = make(spark, edges, n + 300), brute_cliques(n + 300, edges)
+        assert {r["size"]: r["n"] for r in cliques.clique_histogram(g).collect()} == hist
+        best = cliques.maximum_clique(g).first()
+        rows, have = cliques.heuristic_clique(g).first(), set(edges)
+        assert best["size"] == max(hist) and rows["size"] <= best["size"]
+        for found in (best, rows):
+            m = found["members"]
+            assert len(m) == found["size"] and all((a, b) in have for i, a in enumerate(m) for b in m[i + 1 :])
+
+
+def test_star_of_many_leaves(spark):
+    """A hub makes no wedges: its task sees nothing of its leaves."""
+    g = Graph(spark.range(10_001).toDF("id"), spark.range(1, 10_001).selectExpr("0L as src", "id as dst").union(spark.range(1, 10_001).selectExpr("id", "0L")), True)
+    assert {r["size"]: r["n"] for r in cliques.clique_histogram(g).collect()} == {2: 10_000}
+    assert cliques._neighbourhoods(g)[1].count() == 0
+
+
+def test_partition_and_cover(spark):
+    edges = random_edges(16, 0.4, 5)
+    g = make(spark, edges, 16)
+    rows = cliques.edge_clique_partition(g).collect()
+    assert sorted((r["src"], r["dst"]) for r in rows) == sorted(edges)
+    by = {}
+    for r in rows:
+        if r["first_src"] is not None:
+            by.setdefault((r["first_src"], r["first_dst"]), set()).update((r["src"], r["dst"]))
+    sizes = {k: sum((r["first_src"], r["first_dst"]) == k for r in rows) for k in by}
+    assert all(len(v) >= 4 and 2 * sizes[k] == len(v) * (len(v) - 1) for k, v in by.items())
+    cover = {r["id"] for r in cliques.vertex_cover(g).collect()}
+    least = min(bin(m).count("1") for m in range(1 << 16) if all(m >> a & 1 or m >> b & 1 for a, b in edges))
+    assert len(cover) == least and all(a in cover or b in cover for a, b in edges)
+
+
+def test_betweenness_beliefs_radius(spark):
+    edges = [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4)]
+    g = make(spark, edges, 6)
+    got = {r["id"]: (r["paths"], r["dependency"]) for r in tr.betweenness(g, 0).collect()}
+    assert got == {0: (1.0, 4.0), 1: (1.0, 1.0), 2: (1.0, 1.0), 3: (2.0, 1.0), 4: (2.0, 0.0), 5: (None, None)}
+    one = {r["id"]: r["b0"] for r in tr.belief_propagation(make(spark, [(0, 1)], 2), spark.createDataFrame([(0, 0.9, 0.1), (1, 0.5, 0.5)], "id long, p0 double, p1 double"), rounds=1).collect()}
+    assert one[1] == pytest.approx(0.9 * 0.9 + 0.1 * 0.1) and one[0] == pytest.approx(0.9)
+    rounds = [tuple(r) for r in tr.radius(make(spark, PATH5, 5)).collect()]
+    assert len(rounds) <= 6 and rounds[-1][1] == 0 and all(b[2] >= a[2] for a, b in zip(rounds, rounds[1:], strict=False))
+
+
+def test_written_formats(spark, tmp_path):
+    """Every file format gives the graph back, weights and isolated vertices too."""
+    edges = spark.createDataFrame([(0, 1, 1.5), (0, 3, 2.0), (3, 0, 0.25), (4, 4, 8.0)], "src long, dst long, weight double")
+    g = Graph(spark.range(6).toDF("id"), edges)
+    want = {tuple(r) for r in edges.collect()}
+    path = lambda n: f"file://{tmp_path}/{n}"
+    for version in (2, 3):
+        formats.write_binary(g, path(f"b{version}"), version, path(f"w{version}"))
+        back = formats.read_binary(spark, path(f"b{version}"), weights=path(f"w{version}"))
+        assert {tuple(r) for r in back.edges.select("src", "dst", "weight").collect()} == want and back.vertices.count() == 6
+    formats.write_config(g, path("c"))
+    formats.write_adjacency(g, path("a"))
+    formats.write_matrix_market(g, path("m"))
+    for name in "cam":
+        assert {tuple(r) for r in formats.load_graph(spark, path(name)).edges.select("src", "dst", "weight").collect()} == want, name
+    formats.write_grazelle(g, path("z"), pull=True)
+    assert {tuple(r) for r in formats.read_grazelle(spark, path("z"), pull=True).edges.collect()} == {r[:2] for r in want}
+    ends, targets = np.array([2, 2, 2, 3, 4, 4], "<u8"), np.array([1, 3, 0, 4], "<u4")
+    (tmp_path / "gr").write_bytes(np.array([1, 4, 6, 4], "<u8").tobytes() + ends.tobytes() + targets.tobytes() + np.array([1.5, 2.0, 0.25, 8.0], "<f4").tobytes())
+    assert {tuple(r) for r in formats.load_graph(spark, path("gr")).edges.select("src", "dst", "weight").collect()} == want
+    empty = Graph(spark.range(0).toDF("id"), spark.createDataFrame([], "src long, dst long"))
+    formats.write_binary(empty, path("e"))
+    assert formats.load_graph(spark, path("e")).edges.count() == 0
+    formats.write_property(spark.createDataFrame([(2, 0.5), (0, 1.5), (1, -1.0)], "id long, value double"), path("p"))
+    assert [r["value"] for r in formats.read_property(spark, path("p")).orderBy("id").collect()] == [1.5, -1.0, 0.5]
+    (tmp_path / "f").write_text("1:2,3\n2:private\n4:notfound\n3:1\n")
+    assert {tuple(r) for r in formats.read_friendster(spark, path("f")).edges.collect()} == {(1, 2), (1, 3), (3, 1)}

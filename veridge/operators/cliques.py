@@ -96,13 +96,13 @@ def smallest_cover(edges: list[tuple[int, int]]) -> set[int]:
     return cover | (set(left) - apart)
 
 
-def _neighbourhoods(graph: Graph, core: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _neighbourhoods(graph: Graph, core: DataFrame | None = None, rank: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """By rank: (root, v) later neighbours, (root, a, b) edges among them with a < b, and (rank, id).
 
     A triangle is found once, from two later edges of its first vertex, of which each has at most as many as the degeneracy; a hub's earlier neighbours make no wedge.
     """
-    core = written(coreness(graph) if core is None else core)
-    rank = written(degeneracy_order(graph, core))
+    if rank is None:
+        rank = written(degeneracy_order(graph, written(coreness(graph) if core is None else core)))
     e = graph.edges.where("src <> dst").select("src", "dst").distinct()
     later = written(e.join(rank.toDF("src", "root"), "src").join(rank.toDF("dst", "v"), "dst").where("root < v").select("root", "v"))
     wedge = later.select("root", F.col("v").alias("a")).join(later.select("root", F.col("v").alias("b")), "root").where("a < b")
@@ -226,12 +226,13 @@ def vertex_cover(graph: Graph) -> DataFrame:
 
 
 def edge_clique_partition(graph: Graph, least: int = 4) -> DataFrame:
-    """``(src, dst, clique)``: edges of a symmetric graph, src < dst, dealt to cliques of ``least`` or more vertices that share no edge; others have a null clique.
+    """``(src, dst, first_src, first_dst)``: edges of a symmetric graph, src < dst, dealt to cliques of ``least`` or more vertices that share no edge, each named by its smallest edge; edges of none have nulls.
 
     Each root grows a greedy clique over its later neighbours; of cliques that share an edge the one of more vertices, then of the smaller root, takes it, and a clique that lost one gives up its edges and grows again next round without them, until no round finds one.
     """
     rest = written(graph.edges.where("src < dst").select("src", "dst").distinct())
-    dealt = graph.edges.sparkSession.createDataFrame([], "src long, dst long, clique long")
+    dealt = graph.edges.sparkSession.createDataFrame([], "src long, dst long, first_src long, first_dst long")
+    rank = written(degeneracy_order(graph))
 
     def grow(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -245,16 +246,18 @@ def edge_clique_partition(graph: Graph, least: int = 4) -> DataFrame:
 
     while True:
         both = rest.union(rest.select("dst", "src"))
-        near, inner, rank = _neighbourhoods(Graph.of_edges(both, symmetric=True))
+        near, inner, _ = _neighbourhoods(Graph.of_edges(both, symmetric=True), rank=rank)
         found = written(near.groupBy("root").cogroup(inner.groupBy("root")).applyInPandas(grow, "root long, size long, a long, b long"))
         claim = found.select("a", "b", F.struct((-F.col("size")).alias("s"), "root").alias("c")).groupBy("a", "b").agg(F.min("c").alias("c"))
         lost = found.join(claim, ["a", "b"]).where(F.col("c.root") != F.col("root")).select("root").distinct()
         won = found.join(lost, "root", "left_anti")
         name = lambda c, to: rank.select(F.col("rank").alias(c), F.col("id").alias(to))
-        named = won.join(name("a", "x"), "a").join(name("b", "y"), "b").join(name("root", "clique"), "root")
-        got = written(named.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), "clique"))
+        named = written(won.join(name("a", "x"), "a").join(name("b", "y"), "b").select("root", F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")))
+        first = named.groupBy("root").agg(F.min(F.struct("src", "dst")).alias("f")).select("root", F.col("f.src").alias("first_src"), F.col("f.dst").alias("first_dst"))
+        got = written(named.join(first, "root").select("src", "dst", "first_src", "first_dst"))
         if not got.take(1):
-            return dealt.union(rest.withColumn("clique", F.lit(None).cast("long")))
+            none = F.lit(None).cast("long")
+            return dealt.union(rest.select("src", "dst", none, none))
         dealt = written(dealt.union(got))
         rest = written(rest.join(got, ["src", "dst"], "left_anti"))
 

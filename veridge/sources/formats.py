@@ -154,9 +154,15 @@ def read_matrix_market(spark: SparkSession, path: str, shift: int = 1) -> Graph:
     return Graph(spark.range(max(int(sizes[0]), int(sizes[1]))).toDF("id"), edges, symmetric)
 
 
+def _numbered(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Lines that aren't blank, numbered from 0. The parts of one file come in order of place, so a running number orders its lines."""
+    rows = spark.read.text(path).where("trim(value) <> ''").withColumn("__i", F.monotonically_increasing_id())
+    return ranked(rows, [F.col("__i")], name)
+
+
 def read_adjacency(spark: SparkSession, path: str, symmetric: bool = False) -> Graph:
-    """Text adjacency: a heading, n, m, n row starts, m targets and, in weighted files, m weights, one to a line."""
-    lines = written(ranked(spark.read.text(path).where("trim(value) <> ''").withColumn("__i", F.monotonically_increasing_id()), [F.col("__i")], "line").select("line", F.trim("value").alias("v")))
+    """Text adjacency in one file: a heading, n, m, n row starts, m targets and, in weighted files, m weights, one to a line."""
+    lines = written(_numbered(spark, path, "line").select("line", F.trim("value").alias("v")))
     head = {r["line"]: r["v"] for r in lines.where("line < 3").collect()}
     n, m, weighted = int(head[1]), int(head[2]), head[0].startswith("Weighted")
     part = lambda a, k, name, kind: lines.where(f"line >= {a} and line < {a + k}").select((F.col("line") - a).alias("eid"), F.col("v").cast(kind).alias(name))
@@ -175,18 +181,6 @@ def write_edge_list(graph: Graph, path: str, sep: str = " ") -> None:
     graph.edges.write.csv(path, sep=sep)
 
 
-def write_matrix_market(graph: Graph, path: str) -> None:
-    """Symmetric graphs as their lower triangle without self-edges; the heading is the first part file's first line, so parts concatenate to a file."""
-    spark = graph.edges.sparkSession
-    rows = written(graph.edges.where("src > dst") if graph.symmetric else graph.edges)
-    n, m = graph.vertices.agg(F.max("id")).first()[0], rows.count()
-    kind = f"{'real' if 'weight' in rows.columns else 'pattern'} {'symmetric' if graph.symmetric else 'general'}"
-    size = (n or 0) + 1
-    head = spark.createDataFrame([(0, f"%%MatrixMarket matrix coordinate {kind}\n{size} {size} {m}")], "o long, value string")
-    body = rows.select((F.monotonically_increasing_id() + 1).alias("o"), F.concat_ws(" ", *(((F.col(c) + 1) if c != "weight" else F.col(c)).cast("string") for c in rows.columns)).alias("value"))
-    head.union(body).repartitionByRange("o").sortWithinPartitions("o").select("value").write.text(path)
-
-
 # -- files of one piece: their parts are made by tasks, in order, and streamed through the driver, a partition at a time -----------
 
 
@@ -270,6 +264,28 @@ def write_adjacency(graph: Graph, path: str) -> None:
     _stream(graph.edges.sparkSession, path, head, lines(starts, ["id"], "prefix"), lines(edges, ["src", "dst"], "dst"), *([lines(edges, ["src", "dst"], "weight")] if weighted else []))
 
 
+def write_matrix_market(graph: Graph, path: str) -> None:
+    """One file; symmetric graphs as their lower triangle with self-edges."""
+    rows = written(graph.edges.where("src >= dst") if graph.symmetric else graph.edges)
+    top, m = graph.vertices.agg(F.max("id")).first()[0], rows.count()
+    size, weighted = 0 if top is None else top + 1, "weight" in rows.columns
+    head = f"%%MatrixMarket matrix coordinate {'real' if weighted else 'pattern'} {'symmetric' if graph.symmetric else 'general'}\n{size} {size} {m}\n"
+
+    def lines(pdf: pd.DataFrame) -> bytes:
+        cols = [pdf["src"] + 1, pdf["dst"] + 1, *([pdf["weight"]] if weighted else [])]
+        return "".join(" ".join(map(str, r)) + "\n" for r in zip(*cols, strict=True)).encode()
+
+    _stream(graph.edges.sparkSession, path, head.encode(), _encoded(rows, ["src", "dst"], lines))
+
+
+def read_grazelle(spark: SparkSession, path: str, pull: bool = False) -> Graph:
+    n, m = np.frombuffer(_bytes(spark, path, 0, 16), "<u8").tolist()
+    a, b = ("dst", "src") if pull else ("src", "dst")
+    x = _slab(spark, path, 16, 2 * m, "<u8", "x").withColumn("pair", F.floor(F.col("eid") / 2))
+    one = lambda k, name: F.max(F.when(F.col("eid") % 2 == k, F.col("x"))).alias(name)
+    return Graph(spark.range(n).toDF("id"), x.groupBy("pair").agg(one(0, a), one(1, b)).select("src", "dst"))
+
+
 def write_grazelle(graph: Graph, path: str, pull: bool = False) -> None:
     """One file of 64-bit numbers: vertices, edges, then a pair for each edge, by source or, for ``pull``, by destination first."""
     a, b = ("dst", "src") if pull else ("src", "dst")
@@ -291,10 +307,11 @@ def read_galois(spark: SparkSession, path: str, symmetric: bool = False) -> Grap
 
 
 def read_property(spark: SparkSession, path: str, kind: str = "double") -> DataFrame:
-    """``(id, value)``: one value a line, in order of id."""
-    return ranked(spark.read.text(path).withColumn("__i", F.monotonically_increasing_id()), [F.col("__i")], "id").select("id", F.col("value").cast(kind).alias("value"))
+    """``(id, value)``: one value a line, in order of id, in one file."""
+    return _numbered(spark, path, "id").select("id", F.col("value").cast(kind).alias("value"))
 
 
 def write_property(rows: DataFrame, path: str, value: str = "value") -> None:
-    """One value a line in order of id; parts concatenate in order."""
-    rows.select("id", F.col(value).cast("string").alias("value")).repartitionByRange("id").sortWithinPartitions("id").select("value").write.text(path)
+    """One value a line in order of id, in one file."""
+    encode = lambda pdf: "".join(f"{x}\n" for x in pdf[value].tolist()).encode()
+    _stream(rows.sparkSession, path, _encoded(rows.select("id", value), ["id"], encode))
