@@ -67,30 +67,29 @@ def _poisson(u: Column) -> Column:
     return sum((F.when(u > s, 1).otherwise(0) for s in steps), F.lit(0))
 
 
-def _resampled(df: DataFrame, x: str, key: str, samples: int, seed: int) -> list[Column]:
-    """The means of Poisson resamples, all in one aggregate: a row's weights come from a hash of its key that any SQL engine can repeat."""
-    means = []
-    for i in range(samples):
-        h = (F.col(key).cast("long") % 1_000_003 * 7919 + (seed * 1000 + i) * 104_729 + 12_345) % 2_147_483_647
-        for _ in range(2):
-            h = h * 48_271 % 2_147_483_647
-        w = _poisson(h / 2_147_483_647.0)
-        means.append(F.try_divide(F.sum(F.col(x) * w), F.sum(F.when(F.col(x).isNotNull(), w))))
-    return means
+def _resampled(df: DataFrame, x: str, key: str, samples: int, seed: int) -> DataFrame:
+    """``(i, m)``: the means of Poisson resamples. A row's weights come from a hash of its key that any SQL engine can repeat; rows are weighed sample by sample within their task, and only sums leave it."""
+    rows = df.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(key).cast("long").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("i"))
+    h = (F.col("k") % 1_000_003 * 7919 + (seed * 1000 + F.col("i")) * 104_729 + 12_345) % 2_147_483_647
+    for _ in range(2):
+        h = h * 48_271 % 2_147_483_647
+    drawn = rows.select("i", "x", (h / 2_147_483_647.0).alias("u")).select("i", "x", _poisson(F.col("u")).alias("w"))
+    return drawn.groupBy("i").agg(F.try_divide(F.sum(F.col("x") * F.col("w")), F.sum("w")).alias("m"))
+
+
+def _limits(means: DataFrame) -> DataFrame:
+    return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
 
 def bootstrap_mean(df: DataFrame, x: str, key: str, samples: int = 200, seed: int = 0) -> DataFrame:
-    """``(mean, low, high)``: the mean of resampled means with their 95 % limits; one pass, nothing is joined, exploded or collected. Rows that share a key share their weights. No value that isn't null gives nulls."""
-    drawn = df.agg(F.array(*_resampled(df, x, key, samples, seed)).alias("m")).select(F.explode("m").alias("m"))
-    return drawn.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    """``(mean, low, high)``: the mean of resampled means with their 95 % limits. Rows that share a key share their weights. No value that isn't null gives nulls."""
+    return _limits(_resampled(df, x, key, samples, seed))
 
 
 def bootstrap_difference(a: DataFrame, b: DataFrame, x: str, key: str, samples: int = 200, seed: int = 0) -> DataFrame:
     """``(mean, low, high)`` of the difference between the resampled means of two tables, drawn apart."""
-    one = a.agg(F.array(*_resampled(a, x, key, samples, seed)).alias("a"))
-    two = b.agg(F.array(*_resampled(b, x, key, samples, seed + 1)).alias("b"))
-    drawn = one.crossJoin(two).select(F.explode(F.zip_with("a", "b", lambda p, q: p - q)).alias("m"))
-    return drawn.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    one, two = _resampled(a, x, key, samples, seed), _resampled(b, x, key, samples, seed + 1)
+    return _limits(one.join(two.toDF("i", "other"), "i").select((F.col("m") - F.col("other")).alias("m")))
 
 
 def normalised(df: DataFrame, x: str) -> DataFrame:
