@@ -380,6 +380,27 @@ def test_packing(odd, docs, none):
     assert pack.pack(none, queries.vocabulary()).count() == 0
 
 
+def test_word_tokens(monkeypatch):
+    """Whole texts against the tokenizer itself: marks, case, scripts, long words, all white space, a memory that overflows, hashes that clash."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.vocabulary())
+    rng = np.random.default_rng(4)
+    letters = list("abcXYZ\u00e9\u00dc\u03a3\u03c3\u03c2\u0416\u4e2d\U0001f600\u0301.,;:!?)*#'-_%$0123456789 \t\n\x0b\x1c\x1f\x85\xa0\u2003\u3000<|>/")
+    texts = ["".join(rng.choice(letters, int(rng.integers(0, 60)))) for _ in range(600)]
+    texts += ["", " ", "x" * 5000, "word " * 300, "Donaudampfschiffahrtsgesellschaftskapit\u00e4n und Donaudampfschiffahrtsgesellschaftskapit\u00e4nin", "\u65e5\u672c\u8a9e" * 40, "</w> <|endoftext|> a</w>b"]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    own = pack.WordTokens(queries.vocabulary())
+    assert [x.tolist() for x in own(texts)] == want and [x.tolist() for x in own(texts[::-1])] == want[::-1]
+    assert own([]) == []
+    monkeypatch.setattr(pack, "_CACHE", 50)
+    small = pack.WordTokens(queries.vocabulary())
+    assert [small([t])[0].tolist() for t in texts] == want
+    monkeypatch.setattr(pack, "_MIX", (0, 0, 0, 8))  # every word of a length has one hash
+    clash = pack.WordTokens(queries.vocabulary())
+    assert [x.tolist() for x in clash(texts)] == want and [x.tolist() for x in clash(texts[::-1])] == want[::-1]
+
+
 def test_packing_separators(spark):
     """Information separators are tokens, not white space."""
     from tokenizers import Tokenizer

@@ -20,24 +20,21 @@ WINDOWS = 64
 LEAST_CUT = 32
 MERGED = 64
 END = 2
-#: Words that are remembered, and marks that may end a word of letters.
-_CACHE = 600_000
-_WORDS = re.compile(r"[\S\x1c-\x1f]+")
+#: Words that are remembered, bytes of text that are tokenized at a time, bytes of a word that the memory's keys hold.
+_CACHE, _BATCH, _KEY = 1_000_000, 1 << 22, 32
 _TAIL = ".,;:!?)]*#%&$\""
+#: White space of the tokenizer beyond ASCII; unlike Python's it leaves out U+001C to U+001F.
+_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], "<u8")
+_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, part long, window long, offset long, full boolean"
 
 
-def _split(text: str) -> list[str]:
-    """The words between the tokenizer's white space, which unlike Python's leaves out U+001C to U+001F."""
-    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-        return _WORDS.findall(text)
-    return text.split()
-
-
 class WordTokens:
     """Ids of whole texts by a tokenizer of which no token crosses white space, remembered word by word.
 
-    A word of letters, and one with a tail of ``_TAIL`` marks, is encoded as its lower-cased letters and its tail, each one token sequence that ends with a token of ``suffix``; many letter words are encoded as one text and cut after those tokens. Other words are encoded by themselves. What is remembered is forgotten when it gets large, which costs time only.
+    Words are found and looked up by arrays: a word of at most ``_KEY`` bytes is its bytes, as four integers, that the memory has in order of a hash; equal hashes are compared. New and longer words are encoded: those of letters in lower case, as one token sequence that ends with a token of ``suffix``, many as one text that is cut after those tokens; those of letters with a tail of ``_TAIL`` marks as both; others by themselves. What is remembered is forgotten when it gets large, which costs time only.
     """
 
     def __init__(self, path: str, suffix: str = "</w>") -> None:
@@ -51,54 +48,128 @@ class WordTokens:
         self.kind = np.dtype("<u2" if len(vocab) <= 1 << 16 else "<u4")
         self.last = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.keys = np.zeros(0, "<u8"), np.zeros((_KEY // 8, 0), "<u8")
+        self.first, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
 
     def _single(self, words: list[str], into: dict[str, bytes]) -> None:
         for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True):
             into[w] = np.array(e.ids, dtype=self.kind).tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        parts, odd, cores, tails = [], [], set(), set()
-        for w in new:
+    def _lower(self, words: list[str], into: dict[str, bytes]) -> None:
+        """Words of lower-case letters."""
+        size = self.kind.itemsize
+        groups = [words[i : i + 128] for i in range(0, len(words), 128)]
+        for g, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=self.kind)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(g):  # not one sequence a word after all
+                self._single(g, into)
+                continue
+            data, cuts = ids.tobytes(), (ends * size).tolist()
+            into.update(zip(g, [data[i:j] for i, j in zip([0, *cuts], cuts, strict=False)], strict=True))
+
+    def encoded(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, as bytes."""
+        known: dict[str, bytes] = {}
+        lower = [w for w in words if w.isalpha() and w.islower()]
+        seen = set(lower)
+        parts, odd = [], []
+        for w in [w for w in words if w not in seen]:
             core = w.rstrip(_TAIL)
             low = core.lower()
             if low.isalpha() and (core.isascii() or "\u03a3" not in core):
                 parts.append((w, low, w[len(core) :]))
-                if low not in self.cores:
-                    cores.add(low)
-                if len(core) < len(w) and w[len(core) :] not in self.cores:
-                    tails.add(w[len(core) :])
             else:
                 odd.append(w)
-        todo = list(cores)
-        groups = [todo[i : i + 128] for i in range(0, len(todo), 128)]
-        for g, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype=self.kind)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(g):  # not one sequence a word after all
-                self._single(g, self.cores)
-                continue
-            data, size, at = ids.tobytes(), self.kind.itemsize, 0
-            for w, end in zip(g, (ends * size).tolist(), strict=True):
-                self.cores[w] = data[at:end]
-                at = end
-        self._single(list(tails), self.cores)
-        self._single(odd, self.known)
-        for w, core, tail in parts:
-            self.known[w] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
+        more = {low for _, low, _ in parts} - seen
+        self._lower([*lower, *more], known)
+        self._single(list({*odd, *(tail for *_, tail in parts if tail)}), known)
+        known.update([(w, known[low] + known[tail] if tail else known[low]) for w, low, tail in parts])
+        return [known[w] for w in words]
+
+    def _remember(self, hashes: np.ndarray, keys: np.ndarray, ids: list[bytes]) -> None:
+        """Add words, sorted by hash and with hashes that the memory hasn't."""
+        count = np.array([len(x) for x in ids], np.int64) // self.kind.itemsize
+        first = len(self.ids) + np.append(0, np.cumsum(count)[:-1])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), self.kind)])
+        every = np.concatenate([self.hashes, hashes])
+        order = np.argsort(every, kind="stable")
+        self.hashes, self.keys = every[order], np.concatenate([self.keys, keys], axis=1)[:, order]
+        self.first, self.count = np.concatenate([self.first, first])[order], np.concatenate([self.count, count])[order]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        words = [_split(t) for t in texts]
-        known = self.known
-        new = [w for w in set(itertools.chain.from_iterable(words)) if w not in known]
-        if len(self.cores) > _CACHE:
-            self.cores.clear()
-        if len(known) + len(new) > _CACHE:
-            known.clear()
-            new = list(set(itertools.chain.from_iterable(words)))
-        self._learn(new)
-        return [np.frombuffer(b"".join(map(known.__getitem__, w)), dtype=self.kind) for w in words]
+        parts = [(t if t.isascii() else _WIDE_SPACE.sub(" ", t)).encode() for t in texts]
+        data = b" " + b" ".join(parts) + b" " + bytes(_KEY)
+        x = np.frombuffer(data, np.uint8)[: len(data) - _KEY]
+        edges = np.flatnonzero(np.diff(_SPACE[x])) + 1
+        a, n = edges[::2], edges[1::2] - edges[::2]
+        words = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+        keys = np.zeros((_KEY // 8, len(a)), "<u8")
+        h = n.astype("<u8")
+        for i in range(_KEY // 8):
+            at = np.flatnonzero(n > 8 * i) if i else slice(None)
+            keys[i, at] = words[a[at] + 8 * i] & _MASKS[np.minimum(n[at] - 8 * i, 8)]
+            h = (h + keys[i]) * np.uint64(_MIX[i])
+            h ^= h >> np.uint64(31)
+        order = np.argsort(h)
+        u = h[order]
+        new = np.append(True, u[1:] != u[:-1])[: len(u)]
+        of = np.empty(len(a), np.int64)
+        of[order] = np.cumsum(new) - 1
+        u, some = u[new], order[new]
+        alike = n <= _KEY
+        for k in keys:
+            alike &= k == k[some][of]
+
+        def found() -> tuple[np.ndarray, np.ndarray]:
+            at = np.searchsorted(self.hashes, u)
+            at[at == len(self.hashes)] = 0
+            same = self.hashes[at] == u if len(self.hashes) else np.zeros(len(u), bool)
+            return at, same
+
+        def text(rows: np.ndarray) -> list[str]:
+            return b" ".join([data[i:j] for i, j in zip(a[rows].tolist(), (a[rows] + n[rows]).tolist(), strict=True)]).decode().split(" ") if len(rows) else []
+
+        at, same = found()
+        if len(self.hashes) + int((~same).sum()) > _CACHE:
+            self._forget()
+            at, same = found()
+        todo = np.flatnonzero(~same & (n[some] <= _KEY))
+        if len(todo):
+            self._remember(u[todo], keys[:, some[todo]], self.encoded(text(some[todo])))
+            at, same = found()
+        for k, own in zip(self.keys, keys, strict=True):
+            same &= k[at] == own[some] if len(k) else False
+        alike &= same[of]
+        first, count, ids = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), self.ids
+        if len(self.hashes):
+            first, count = self.first[at][of], self.count[at][of]
+        odd = np.flatnonzero(~alike)
+        if len(odd):  # long words, and any whose hash another word has
+            own = text(odd)
+            known = dict(zip(names := list(dict.fromkeys(own)), self.encoded(names), strict=True))
+            extra = [known[w] for w in own]
+            count[odd] = [len(e) // self.kind.itemsize for e in extra]
+            first[odd] = len(ids) + np.cumsum(count[odd]) - count[odd]
+            ids = np.concatenate([ids, np.frombuffer(b"".join(extra), self.kind)])
+        ends = np.cumsum(count)
+        out = ids[np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
+        starts = np.cumsum([1, *(len(p) + 1 for p in parts)])[:-1]
+        cuts = np.append(0, ends)[np.searchsorted(a, starts[1:])]
+        return np.split(out, cuts) if texts else []
+
+
+_MADE: dict[str, WordTokens] = {}
+
+
+def _tokens(path: str) -> WordTokens:
+    """The tokenizer of this process; the next task of a worker finds the words that the last one met."""
+    if path not in _MADE:
+        _MADE[path] = WordTokens(path)
+    return _MADE[path]
 
 
 class _Packer:
@@ -185,12 +256,13 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        tokens, packer = WordTokens(tokenizer), _Packer(TaskContext.get().partitionId(), length, windows, least_cut)
+        tokens, packer = _tokens(tokenizer), _Packer(TaskContext.get().partitionId(), length, windows, least_cut)
         tail = np.array([] if end_id is None else [end_id], dtype="<u4")
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.iloc[i : i + 256]
-                for doc, ids in zip(part["doc_id"].array, tokens(part["text"].fillna("").tolist()), strict=True):
+            texts = batch["text"].fillna("").tolist()
+            upto = np.cumsum([len(t) for t in texts]) // _BATCH
+            for i, j in itertools.pairwise([0, *(np.flatnonzero(np.diff(upto)) + 1), len(texts)]):
+                for doc, ids in zip(batch["doc_id"].array[i:j], tokens(texts[i:j]), strict=True):
                     packer.add(doc, np.concatenate([ids.astype("<u4"), tail]))
                 yield packer.taken()
         packer.end()
