@@ -21,7 +21,7 @@ LEAST_CUT = 32
 MERGED = 64
 END = 2
 #: Words that are remembered, bytes of text that are tokenized at a time, bytes of a word that the memory's keys hold.
-_CACHE, _BATCH, _KEY = 1_000_000, 1 << 22, 32
+_CACHE, _BATCH, _KEY = 600_000, 1 << 20, 32
 _TAIL = ".,;:!?)]*#%&$\""
 #: White space of the tokenizer beyond ASCII; unlike Python's it leaves out U+001C to U+001F.
 _WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
