@@ -129,6 +129,12 @@ def test_pipeline_near_duplicates(spark, docs, odd, none):
     base = word(80)
     for n in range(40):
         rows.append((3000 + n, " ".join([*base[: 2 * n], "odd", *base[2 * n + 1 :]])))
+    base = word(150)
+    for n in range(150):  # a dense group whose members are near only some others
+        other = list(base)
+        for at in rng.integers(0, len(base), n % 9):
+            other[at] = f"n{rng.integers(1000)}"
+        rows.append((5000 + n, " ".join(other)))
     rows += [(1000, rows[2][1]), (1000, "a text of its own"), (1003, "one more")]
     plain = spark.createDataFrame(rows, "doc_id long, text string")
     for df in (plain, docs, odd):
@@ -148,6 +154,32 @@ def test_pipeline_near_duplicates(spark, docs, odd, none):
     assert p.drop_near_duplicates(spark, none, "").count() == 0
 
 
+def test_shingle_blocks(monkeypatch):
+    """Blocks of sets join what all pairs join, within and across; chunks of shingles change nothing."""
+    rng = np.random.default_rng(2)
+    sets, base = [], rng.integers(0, 1 << 40, 200)
+    for n in range(60):
+        x = base.copy()
+        at = rng.integers(0, 200, n % 40)
+        x[at] = rng.integers(0, 1 << 40, len(at))
+        sets.append(np.unique(x))
+    sets += [np.zeros(0, np.int64), np.zeros(0, np.int64), np.array([5])]
+    comps, sides = np.arange(len(sets)) // 2, rng.integers(0, 2, len(sets))
+
+    def parts(pairs):
+        g = list(range(len(sets)))
+        for x, y in pairs:
+            g = [g[y] if v == g[x] else v for v in g]
+        return {frozenset(i for i, v in enumerate(g) if v == k) for k in g}
+
+    for cross in (False, True):
+        want = [(x, y) for x in range(len(sets)) for y in range(x) if comps[x] != comps[y] and (not cross or sides[x] != sides[y]) and len(set(sets[x]) & set(sets[y])) >= 0.8 * len(set(sets[x]) | set(sets[y])) - 1e-9]
+        for columns in (7, 1 << 13):
+            monkeypatch.setattr(shingles, "_COLUMNS", columns)
+            got = shingles._close(comps, sides, sets, cross, 0.8)
+            assert set(got) <= set(want) and parts(got) == parts(want)
+
+
 def test_license(spark, odd, none):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
     parts = mit.split("\n\n")
