@@ -325,12 +325,30 @@ def test_topk(spark):
             assert sorted(tuple(r) for r in topk.top_k(df).collect()) == sorted(want)
     finally:
         topk.SHARD, topk.LEAF = keep
+    unlike = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (50, [1.0, 2.0]), (51, [3.0, 1.0]), (100, []), (101, [])], "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.top_k(unlike).collect()) == [(0, 1, 1, 256 * 512), (50, 1, 51, 256 * 768 + 512 * 256), (100, 1, 101, 0)]
     big = spark.createDataFrame([(0, [1e12, 3.0]), (1, [1e12, 1.0]), (2, [2.0, 2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r)[1:3] for r in topk.top_k(big).orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert topk.quantised(spark.createDataFrame([(0, [3e20, -3e20, -0.001])], "vec_id long, embedding array<double>")).first()["v"] == [3e20 * 256, -3e20 * 256, -1.0]
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_topk_balls(spark, monkeypatch):
+    """Groups far apart and a third of all rows equal: shards that can't matter aren't visited, and the result is brute force's."""
+    monkeypatch.setattr(topk, "SHARD", 50)
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    rng = np.random.default_rng(2)
+    centres = np.eye(8) * 9
+    x = [centres[i % 8] + rng.normal(0, 0.1, 8) if i % 3 else centres[0] for i in range(900)]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    ints = np.floor(np.array(x) * 256).astype(int)
+    want = [(q, r + 1, j, -s) for q in range(0, 900, 50) for r, (s, j) in enumerate(sorted((-int(ints[q] @ ints[j]), j) for j in range(900) if j != q)[:5])]
+    visited, visits = [], topk._visits
+    monkeypatch.setattr(topk, "_visits", lambda *a: visited.append(visits(*a)) or visited[-1])
+    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == want
+    assert visited[0].agg(F.avg(F.size("to"))).first()[0] < 9  # of 18 pivots
+
+
 def test_matroska(odd, none):
     text = {(r["doc_id"], r["text"]) for r in odd.collect()}
     for r in matroska.load(matroska.store(odd)).collect():

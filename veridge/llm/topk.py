@@ -1,4 +1,4 @@
-"""Exact top-k search by inner product: a ball tree per shard, branch and bound, kth scores shared."""
+"""Exact top-k search by inner product: shards dealt by balls, a tree in each, branch and bound, kth scores shared."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ from veridge.runtime import written
 K, SCALE, EVERY = 5, 256.0, 50
 #: Rows of a shard and of a block of queries, and of a tree's leaf.
 SHARD, BLOCK, LEAF = 16_384, 4_096, 256
+#: Vectors, a bounded sample, that others are dealt by; which they are changes what is sent, not what is found.
+PIVOTS = 256
 _EXACT = 1 << 53
 FOUND = "query_id long, vec_id long, score long"
 
@@ -104,27 +106,77 @@ def _search(k: int):
     return run
 
 
-def _each(n: int):
-    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+def _pivots(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
+    """At most ``n`` of the vectors, those whose hashed ids come first, by their dimension."""
+    found: dict[int, list] = {}
+    for r in vectors.orderBy(F.xxhash64("vec_id")).limit(n).select("dim", "v").collect():
+        found.setdefault(r["dim"], []).append(r["v"])
+    return {dim: np.array(v, dtype=np.float64).reshape(len(v), -1) for dim, v in found.items()}
+
+
+def _dealt(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """``vectors`` with the nearest pivot of their dimension, -1 if it has none, and how far it is."""
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pivot, far = np.full(len(pdf), -1), np.full(len(pdf), np.inf)
+            for dim, at in pdf.groupby("dim").indices.items():
+                if (p := pivots.get(dim)) is not None:
+                    x = np.array(pdf["v"].iloc[at].tolist(), dtype=np.float64).reshape(len(at), -1)
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        pivot[at] = np.argmin((p * p).sum(1) - 2 * (x @ p.T), 1)
+                        far[at] = np.sqrt(((x - p[pivot[at]]) ** 2).sum(1))
+            yield pdf.assign(pivot=pivot, far=np.nan_to_num(far, nan=np.inf))
+
+    return vectors.mapInPandas(deal, "vec_id long, v array<double>, dim int, pivot int, far double")
+
+
+def _visits(queries: DataFrame, pivots: dict[int, np.ndarray], balls: dict[tuple[int, int], tuple[float, int]]) -> DataFrame:
+    """``queries`` with ``to``, the pivots of their dimension around which a shard may hold what reaches their bound."""
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            to = []
+            for dim, v, bound, home in zip(pdf["dim"], pdf["v"], pdf["bound"], pdf["home"], strict=True):
+                q, p = np.array(v, dtype=np.float64), pivots.get(dim)
+                near = [-1] if p is None else [i for i in range(len(p)) if (dim, i) in balls]
+                if p is not None and len(near):
+                    radius = np.array([balls[dim, i][0] for i in near])
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        reach = np.sqrt((q * q).sum()) * radius
+                        up = p[near] @ q
+                        up = up + reach + 1e-9 * (np.abs(up) + reach + 1)
+                    near = [i for i, out in zip(near, np.maximum(up, -(2.0**63)) < bound, strict=True) if not out]
+                to.append([i for i in near if i != home or i < 0 or balls[dim, i][1] > 1])
+            yield pdf.assign(to=to)
+
+    return queries.mapInPandas(choose, "vec_id long, v array<double>, dim int, bound double, home int, home_chunk int, to array<int>")
 
 
 def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, id_col: str = "vec_id", vector: str = "embedding", scale: float = SCALE) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row whose id is divisible by ``every``, the k other rows of highest integer inner product, ties to the smaller id.
 
-    Rows are dealt by hashed id to shards of about ``SHARD`` rows; vectors of unlike dimension don't meet. Each query first searches the shard of its own id; its kth score there then bounds its search of all others, which return only what reaches it. Queries come in blocks of about ``BLOCK``, so a task holds one shard and one block. Fewer than k candidates give fewer rows, an empty table none. Other columns aren't read.
+    Rows are dealt to the nearest of at most ``PIVOTS`` vectors, and by hashed id to shards of about ``SHARD`` rows around each; vectors of unlike dimension don't meet. Each query is first searched for in its own shard; its kth score there then rules out pivots whose ball can't reach it, and bounds the search of the shards of the others, which return only what reaches it. A shard's visitors come in blocks of about ``BLOCK``, so a task holds one shard and one block; shards that none visits aren't sent again. Fewer than k candidates give fewer rows, an empty table none. Other columns aren't read.
     """
     v = written(quantised(vectors, id_col, vector, scale).withColumn("dim", F.size("v")))
-    rows, queries = v.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
-    shards, blocks = max(1, -(-rows // SHARD)), max(1, -(-queries // BLOCK))
-    v = v.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
-    q = v.toDF(*(f"{c}_" for c in v.columns)).toDF(*v.columns).where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)))
-    keys = ["dim", "shard", "block"]
-    spread = v.withColumn("block", _each(blocks)).groupBy(*keys)
-    home = written(spread.cogroup(q.withColumn("bound", F.lit(None).cast("double")).groupBy(*keys)).applyInPandas(_search(k), FOUND))
+    pivots = _pivots(v, min(PIVOTS, max(1, v.count() // SHARD)))
+    near = written(_dealt(v, pivots))
+    cells = written(near.groupBy("dim", "pivot").agg(F.max("far").alias("radius"), F.ceil(F.count("*") / SHARD).cast("int").alias("chunks")))
+    sharded = written(near.join(cells, ["dim", "pivot"]).select("dim", "pivot", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"), "vec_id", "v"))
+    search = _search(k)
+    home = written(sharded.groupBy("dim", "pivot", "chunk").applyInPandas(lambda pdf: search(pdf, pdf[pdf["vec_id"] % every == 0].assign(bound=np.nan)), FOUND))
     kth = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("bound"))
-    bounded = q.join(kth, q["vec_id"] == kth["query_id"], "left").select("dim", "block", "vec_id", "v", "bound", F.col("shard").alias("home"))
-    away = bounded.withColumn("shard", _each(shards)).where("shard <> home")
-    away = away.toDF(*(f"{c}_" for c in away.columns)).toDF(*away.columns)  # columns apart from those of v
-    other = spread.cogroup(away.groupBy(*keys)).applyInPandas(_search(k), FOUND)
+    queries = sharded.where(F.col("vec_id") % every == 0).join(kth, F.col("vec_id") == F.col("query_id"), "left")
+    queries = queries.select("vec_id", "v", "dim", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"), F.col("pivot").alias("home"), F.col("chunk").alias("home_chunk"))
+    balls = {(r["dim"], r["pivot"]): (r["radius"], r["chunks"]) for r in cells.where("pivot >= 0").collect()}  # one for each pivot at most
+    wanted = written(_visits(queries, pivots, balls))
+    visitors = wanted.select("dim", F.explode("to").alias("pivot")).groupBy("dim", "pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    open_cells = written(cells.join(visitors, ["dim", "pivot"]).select("dim", "pivot", "chunks", "blocks"))
+    numbered = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    spread = sharded.join(open_cells, ["dim", "pivot"]).withColumn("block", numbered("blocks")).select("dim", "pivot", "chunk", "block", "vec_id", "v")
+    away = wanted.withColumn("pivot", F.explode("to")).join(open_cells, ["dim", "pivot"]).withColumn("chunk", numbered("chunks")).where((F.col("pivot") != F.col("home")) | (F.col("chunk") != F.col("home_chunk")))
+    away = away.select("dim", "pivot", "chunk", F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "v", "bound")
+    keys = ["dim", "pivot", "chunk", "block"]
+    other = spread.groupBy(*keys).cogroup(away.groupBy(*keys)).applyInPandas(search, FOUND)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return home.union(other).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
