@@ -228,6 +228,33 @@ def test_license_wrapped(spark):
     assert {r["doc_id"]: list(r["licenses"]) for r in got} == want
 
 
+def test_license_sql(spark, tmp_path):
+    """The query and its SQL on sentences, pieces of them and other words in any order, with any marks between."""
+    import duckdb
+
+    rng = np.random.default_rng(6)
+    known, marks = list(license.SENTENCES.values()), [" ", "\n", "\r\n", "\r", ". ", ": ", ";\n", ".", " | ", "~", "\n\n", "\r\n\r\n", "\n# ", "\n *\n * ", "?! ", ".:\t", "...", "", "\u3002", "\n\u00e9\n"]
+    rows = [(0, None), (1, ""), (2, "\r\n")]
+    for i in range(3, 3000):
+        out = []
+        for _ in range(rng.integers(1, 7)):
+            w = known[rng.integers(len(known))].split() if rng.random() < 0.8 else ["other", "words"]
+            if rng.random() < 0.2:
+                w = w[: rng.integers(1, len(w) + 1)]
+            if rng.random() < 0.5:
+                w[rng.integers(len(w))] += marks[rng.integers(len(marks))].strip(" ") or ","
+            out.append(" ".join(w).upper() if rng.random() < 0.3 else (" " if rng.random() < 0.5 else marks[rng.integers(len(marks))] or " ").join(w))
+            out.append(marks[rng.integers(len(marks))])
+        rows.append((i, "".join(out)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, queries.op2_license(spark, str(tmp_path)).select("doc_id", "n_sentences", "sentences", "licenses").collect()))
+    want = sorted(db.sql(f"SELECT doc_id, n_sentences, sentences, licenses FROM ({queries.oracle_sql()['op2_license']})").fetchall())
+    assert got == want
+    assert len({r[3] for r in got}) > 50
+
+
 def test_chat(spark, monkeypatch):
     rows = [(1, 0, "system", "be"), (1, 1, "user", "hi"), (1, 2, "assistant", "yo"), (2, 0, None, None), (2, 0, None, None), (None, 0, "", "x"), (3, 0, "system", "alone"), (4, 0, "a|>b", "so <|end|> he\U0001f600")]
     df = spark.createDataFrame([(*r, 1, "h") for r in rows], "conv_id long, turn long, role string, text string, salt int, head string")

@@ -108,24 +108,27 @@ def _at(f: Callable, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _license_sql() -> str:
     known = ", ".join(f"('{s}', '{name}')" for name, s in license.SENTENCES.items())
+    # Marks between sentences are doubled, so that each match has its own on both sides; of sentences that begin alike the longest is taken.
+    each = "|".join(x.replace(" ", "[ ~]+") for x in sorted(license.SENTENCES.values(), key=lambda x: (-len(x), x)))
     like = lambda order: " AND ".join(["n > 0", f"regexp_matches(j, '{''.join(f',{s},(.*,)?' if k == 0 else f'{s},(.*,)?' for k, s in enumerate(order))}')"])
     cases = []
     for i, (name, order) in enumerate(license.RULES):
         longer = [before for other, before in license.RULES[:i] if before[: len(order)] == order and other != name]
         cases.append(f"CASE WHEN {like(order)}{''.join(f' AND NOT ({like(b)})' for b in longer)} THEN '{name}' END")
-    first = {name: i for i, (name, _) in reversed(list(enumerate(license.RULES)))}
-    order = ", ".join(f"'{n}'" for n, _ in sorted(first.items(), key=lambda x: x[1]))
     return f"""
 WITH known(s, name) AS (VALUES {known}),
 m AS (SELECT map(list(s), list(name)) AS k FROM known),
+low AS (SELECT doc_id, translate(replace(lower(coalesce(text, '')), chr(13) || chr(10), chr(10)), '|~', '  ') AS t FROM documents),
+ended AS (SELECT doc_id, regexp_replace(t, '[.!?:;]*[.!?][.!?:;]*[\\x20\\x09-\\x0D]+|[\\x0A\\x0D](?:[^a-z0-9\\x0A\\x0D]*[\\x0A\\x0D])+', '|', 'g') AS t FROM low),
+words AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[:;][\\x20\\x09-\\x0D]+|[\\x0A\\x0D]+', '~', 'g'), '[^a-z0-9|~]+', ' ', 'g') AS t FROM ended),
 parts AS (
-  SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[.!?:;]+[\\x20\\x09-\\x0D]+|[\\x0A\\x0D]+'),
-    lambda x: k[trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))]), lambda x: x IS NOT NULL) AS ids
-  FROM documents, m),
+  SELECT doc_id, list_transform(regexp_extract_all('|' || replace(replace(t, '|', '||'), '~', '~~') || '|', '[|~] ?({each}) ?[|~]', 1),
+    lambda x: k[regexp_replace(x, '[ ~]+', ' ', 'g')]) AS ids
+  FROM words, m),
 j AS (SELECT doc_id, len(ids) AS n, array_to_string(ids, ',') AS s, ',' || array_to_string(ids, ',') || ',' AS j FROM parts),
 h AS (SELECT *, [{", ".join(cases)}] AS hits FROM j)
 SELECT doc_id, CAST(n AS BIGINT) AS n_sentences, coalesce(s, '') AS sentences,
-  coalesce(array_to_string(list_filter([{order}], lambda x: list_contains(hits, x)), ','), '') AS licenses
+  coalesce(array_to_string(list_filter(hits, lambda x, i: list_position(hits, x) = i), ','), '') AS licenses
 FROM h"""
 
 
