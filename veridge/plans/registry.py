@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veridge.functions import scalar
 from veridge.graph import Graph
-from veridge.operators import cliques, edgemap as em, reducers as red, statistics as st, structure as sg, traversal as tr
+from veridge.operators import cliques, edgemap as em, hoeffding as ho, reducers as red, statistics as st, structure as sg, traversal as tr
 from veridge.runtime import ranked, shared_dir, table, written
 from veridge.sources import formats as fm
 
@@ -434,6 +434,54 @@ def _pdf(g: Graph) -> DataFrame:
 _RENUMBERED = _SQL["graph_clean_edges"]
 
 
+_FEATURES, _TREE = ["l_tax", "l_discount", "l_quantity"], {"rounds": 1, "depth": 1, "bins": 16}
+
+
+def _split_sql(label: str, gain: str, settled: str, out: str) -> str:
+    """The leaves of a tree of one split: every cut of every feature, the best one if the rows settle it."""
+    each = " UNION ALL ".join(f"SELECT {i} AS f, CAST({f} AS DOUBLE) AS x, y FROM d" for i, f in enumerate(_FEATURES))
+    at = " ".join(f"WHEN {i} THEN {f} < edge" for i, f in enumerate(_FEATURES))
+    return f"""
+WITH d AS (SELECT *, {label} AS y FROM lineitem), rows AS ({each}), lim AS (SELECT f, min(x) AS lo, max(x) AS hi FROM rows GROUP BY f),
+b AS (SELECT f, y, least(15, CAST(floor((x - lo) / (hi - lo) * 16) AS INTEGER)) AS bin FROM rows JOIN lim USING (f)),
+s AS ({gain}),
+g AS (SELECT f, max(gain) AS gain, arg_min(c, (-gain, c)) AS c, any_value(n) AS n FROM s WHERE gain > 0 GROUP BY f),
+r AS (SELECT *, coalesce(lead(gain) OVER (ORDER BY gain DESC, f), 0) AS second, row_number() OVER (ORDER BY gain DESC, f) AS k FROM g),
+best AS (SELECT f, lo + c * (hi - lo) / 16 AS edge FROM r JOIN lim USING (f) WHERE k = 1 AND ({settled}) OR k = 1 AND sqrt(ln(1e6) / (2 * n)) < 0.05),
+routed AS (SELECT d.*, CAST(CASE WHEN edge IS NULL THEN 1 WHEN CASE f {at} END THEN 2 ELSE 3 END AS BIGINT) AS node FROM d LEFT JOIN best ON true)
+{out}"""
+
+
+_BIG = "CASE WHEN l_extendedprice >= 30000 THEN 'high' ELSE 'low' END"
+_GINI = """SELECT f, c, sum(l + r) AS n,
+    ((sum(l + r) - sum((l + r) * (l + r)) / sum(l + r)) - (sum(l) - sum(l * l) / sum(l)) - (sum(r) - sum(r * r) / sum(r))) / sum(l + r) AS gain
+  FROM (SELECT f, c, y, CAST(count(*) FILTER (bin < c) AS DOUBLE) AS l, CAST(count(*) FILTER (bin >= c) AS DOUBLE) AS r FROM b, range(1, 16) t(c) GROUP BY 1, 2, 3)
+  GROUP BY 1, 2 HAVING sum(l) > 0 AND sum(r) > 0"""
+_VARIANCE = """SELECT f, c, count(*) AS n, (var_pop(y) * count(*) - var_pop(y) FILTER (bin < c) * count(*) FILTER (bin < c) - var_pop(y) FILTER (bin >= c) * count(*) FILTER (bin >= c)) / count(*) AS gain
+  FROM b, range(1, 16) t(c) GROUP BY 1, 2 HAVING count(*) FILTER (bin < c) > 0 AND count(*) FILTER (bin >= c) > 0"""
+_BOUND = "sqrt(ln(1e6) / (2 * n))"
+
+
+@_query("hoeffding_classes", sql=_split_sql(_BIG, _GINI, f"gain - second > {_BOUND}", "SELECT node, y AS label, count(*) AS n FROM routed GROUP BY 1, 2"))
+def _hoeffding_classes(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("y", F.when(F.col("l_extendedprice") >= 30000, "high").otherwise("low"))
+    return ho.leaves(rows, ho.grow(rows, _FEATURES, "y", **_TREE), "y")
+
+
+@_query("hoeffding_values", sql=_split_sql("l_extendedprice", _VARIANCE, f"second / gain < 1 - {_BOUND}", "SELECT node, count(y) AS n, round(avg(y), 4) AS mean FROM routed GROUP BY 1"))
+def _hoeffding_values(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    found = ho.means(rows, ho.grow(rows, _FEATURES, "l_extendedprice", classes=False, **_TREE), "l_extendedprice")
+    return found.select("node", "n", F.round("mean", 4).alias("mean"))
+
+
+@_query("hoeffding_lines", sql=_split_sql("l_extendedprice", _VARIANCE, f"second / gain < 1 - {_BOUND}", "SELECT node, CAST(regr_count(y, l_quantity) AS BIGINT) AS n, round(regr_slope(y, l_quantity), 4) AS slope, round(regr_intercept(y, l_quantity), 2) AS intercept FROM routed GROUP BY 1"))
+def _hoeffding_lines(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    found = ho.lines(rows, ho.grow(rows, _FEATURES, "l_extendedprice", classes=False, **_TREE), "l_quantity", "l_extendedprice")
+    return found.select("node", "n", F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"))
+
+
 def _there_and_back(name: str, write: Callable, read: Callable, weighted: bool = False) -> None:
     sql = _RENUMBERED.replace("SELECT a.k AS src, b.k AS dst FROM e", "SELECT a.k AS src, b.k AS dst, CAST(64 + ((a.k + b.k) & 127) AS DOUBLE) AS weight FROM e") if weighted else _RENUMBERED
 
