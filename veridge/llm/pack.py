@@ -34,7 +34,7 @@ PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, part
 class WordTokens:
     """Ids of whole texts by a tokenizer of which no token crosses white space, remembered word by word.
 
-    Words are found and looked up by arrays: a word of at most ``_KEY`` bytes is its bytes, as four integers, that the memory has in order of a hash; equal hashes are compared. New and longer words are encoded: those of letters in lower case, as one token sequence that ends with a token of ``suffix``, many as one text that is cut after those tokens; those of letters with a tail of ``_TAIL`` marks as both; others by themselves. What is remembered is forgotten when it gets large, which costs time only.
+    Words are found and looked up by arrays: a word of at most ``_KEY`` bytes is its bytes, as four integers, that the memory has in order of a hash; equal hashes are compared. New and longer words are encoded: those of letters in lower case, as one token sequence that ends with a token of ``suffix``, many as one text that is cut after those tokens; those of letters with a tail of ``_TAIL`` marks as both; others by themselves. When the memory gets large, it forgets what wasn't met again since it was added or last kept, which costs time only.
     """
 
     def __init__(self, path: str, suffix: str = "</w>") -> None:
@@ -53,6 +53,18 @@ class WordTokens:
     def _forget(self) -> None:
         self.hashes, self.keys = np.zeros(0, "<u8"), np.zeros((_KEY // 8, 0), "<u8")
         self.first, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+        self.again = np.zeros(0, bool)
+
+    def _shrink(self) -> None:
+        keep = np.flatnonzero(self.again)
+        if not 0 < len(keep) <= _CACHE // 2:
+            self._forget()
+            return
+        first, count = self.first[keep], self.count[keep]
+        ends = np.cumsum(count)
+        self.ids = self.ids[np.repeat(first - (ends - count), count) + np.arange(ends[-1])]
+        self.hashes, self.keys, self.first, self.count = self.hashes[keep], self.keys[:, keep], ends - count, count
+        self.again = np.zeros(len(keep), bool)
 
     def _single(self, words: list[str], into: dict[str, bytes]) -> None:
         for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True):
@@ -99,6 +111,7 @@ class WordTokens:
         order = np.argsort(every, kind="stable")
         self.hashes, self.keys = every[order], np.concatenate([self.keys, keys], axis=1)[:, order]
         self.first, self.count = np.concatenate([self.first, first])[order], np.concatenate([self.count, count])[order]
+        self.again = np.concatenate([self.again, np.zeros(len(hashes), bool)])[order]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         parts = [(t if t.isascii() else _WIDE_SPACE.sub(" ", t)).encode() for t in texts]
@@ -134,8 +147,9 @@ class WordTokens:
             return b" ".join([data[i:j] for i, j in zip(a[rows].tolist(), (a[rows] + n[rows]).tolist(), strict=True)]).decode().split(" ") if len(rows) else []
 
         at, same = found()
+        self.again[at[same]] = True
         if len(self.hashes) + int((~same).sum()) > _CACHE:
-            self._forget()
+            self._shrink()
             at, same = found()
         todo = np.flatnonzero(~same & (n[some] <= _KEY))
         if len(todo):
