@@ -15,7 +15,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles of similarity 0.8 or more stays, the one with the smallest id."""
+    """One document of each group linked by five-word shingles of similarity 0.8 or more stays, the one with the smallest id. SimHash proposes the pairs."""
     return shingles.deduplicate(docs)
 
 

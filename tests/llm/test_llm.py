@@ -154,6 +154,49 @@ def test_pipeline_near_duplicates(spark, docs, odd, none):
     assert p.drop_near_duplicates(spark, none, "").count() == 0
 
 
+def test_wide_simhash(spark, monkeypatch):
+    """The near-duplicate stage's SimHash: fingerprints and groups against plain versions, and pairs at 0.8 that it proposes."""
+    rng = np.random.default_rng(5)
+    bits = lambda x: [int(v) >> b & 1 for v in x for b in range(64)]
+    for text in (None, "", "one two", "a b c d e f g", " ".join(f"w{x}" for x in rng.integers(0, 90, 700))):
+        h = [int(x) for x in shingles.shingles(text)]
+        got = simhash.wide_fingerprint(np.array(h, np.uint64), 384)
+        assert len(got) == 6 and int(got[0]) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        keys = simhash.block_keys(got, 38, 10)
+        assert keys.tolist() == [(t << 10) + sum(v << i for i, v in enumerate(bits(got)[10 * t : 10 * t + 10])) for t in range(38)]
+    assert simhash.wide_blocks(0) == simhash.wide_blocks(1 << 20) == (48, 8) and simhash.wide_blocks(1 << 24)[1] == 12
+
+    prints = rng.integers(0, 1 << 62, (3, 12), dtype=np.uint64).repeat(40, 1)
+    for n in range(prints.shape[1]):
+        for b in rng.integers(0, 192, n % 40):
+            prints[b // 64, n] ^= np.uint64(1 << int(b % 64))
+    prints = prints[:, rng.permutation(prints.shape[1])]
+    far = np.bitwise_count(prints[:, :, None] ^ prints[:, None, :]).sum(0)
+    for limit in (0, 10, 25, 60):
+        want = (far <= limit).astype(int)
+        while not (want == (more := (want @ want > 0).astype(int))).all():
+            want = more
+        for tile, references in ((7, 16), (64, 1), (256, 4)):
+            monkeypatch.setattr(simhash, "TILE", tile)
+            monkeypatch.setattr(simhash, "REFERENCES", references)
+            label = simhash.linked(prints, limit)
+            assert ((label[:, None] == label) == want.astype(bool)).all() and (label[label] == label).all()
+
+    rows = []  # sets of a and b shingles with c in common
+    for n, (a, b, c) in enumerate([(4, 5, 4), (9, 9, 8), (5, 6, 5), (90, 90, 80), (80, 100, 80), (1, 1, 1)] * 60):
+        x = rng.integers(0, 1 << 63, a + b - c, dtype=np.uint64) * np.uint64(2) + np.uint64(n % 2)
+        for i, own in enumerate((x[:a], x[a - c :])):
+            p = simhash.wide_fingerprint(own, 384)
+            rows.append((2 * n + i, *map(int, p[:3].view(np.int64)), simhash.block_keys(p, 48, 8).tolist()))
+    table = spark.createDataFrame(rows, "node long, w0 long, w1 long, w2 long, keys array<int>")
+    by = {}
+    for r in simhash.wide_groups(table, len(rows), 48).collect():
+        by.setdefault(r["key"], set()).add((r["node"], r["head"]))
+    assert all(len({h for _, h in g}) == 1 and {h for _, h in g} <= {i for i, _ in g} and len(g) > 1 for g in by.values())
+    together = {frozenset(i for i, _ in g) for g in by.values()}
+    assert all(any({2 * n, 2 * n + 1} <= g for g in together) for n in range(len(rows) // 2))
+
+
 def test_shingle_blocks(monkeypatch):
     """Blocks of sets join what all pairs join, within and across; chunks of shingles change nothing."""
     rng = np.random.default_rng(2)

@@ -1,4 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingles: banded MinHash proposes pairs, the exact similarity verifies."""
+"""Near-duplicates by the Jaccard similarity of five-word shingles: SimHash with its distance tables proposes pairs, the exact similarity verifies."""
 
 from __future__ import annotations
 
@@ -12,16 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veridge.llm.simhash import COMPARED, block_keys, wide_blocks, wide_fingerprint, wide_groups
 from veridge.operators.components import connected_components
 from veridge.runtime import written
 
 WORDS, LEAST = 5, 0.8
-#: A pair at similarity s shares no band with probability (1 - s ** ROWS) ** BANDS: 7e-5 at 0.8.
-BANDS, ROWS = 24, 5
 SEED = 42
 #: Members up to which a bucket's pairs are rows, members of a block beyond that, and shingles that are compared at a time.
 FEW, BLOCK, _COLUMNS = 32, 128, 1 << 13
-_CHUNK = 1 << 12
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -33,28 +31,18 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, each, repeat(SEED)), dtype=np.uint64))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band: a hash of the band's ``ROWS`` minima. The empty set has keys too."""
-    rng = np.random.default_rng(SEED)
-    a = rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-    b = rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-    low = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for at in range(0, len(hashes), _CHUNK):
-        x = hashes[at : at + _CHUNK]
-        x = x ^ (x >> np.uint64(32))
-        # High bits of a product hang on all lower bits of the hash; the keys use them only.
-        low = np.minimum(low, (a[:, None] * x + b[:, None]).min(1))
-    out = np.arange(BANDS, dtype=np.uint64)
-    for column in (low >> np.uint64(16)).reshape(BANDS, ROWS).T:
-        out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+def _prints(blocks: int, bits: int):
+    """A text's wide fingerprint: the words that are compared, and the keys of its blocks."""
+    words = COMPARED // 64
 
+    @F.pandas_udf(", ".join([*(f"w{i} long" for i in range(words)), "keys array<int>"]))
+    def prints(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            each = [wide_fingerprint(shingles(t), blocks * bits) for t in batch]
+            first = np.array([p[:words] for p in each], np.uint64).reshape(-1, words).view(np.int64)
+            yield pd.DataFrame({f"w{i}": first[:, i] for i in range(words)} | {"keys": [block_keys(p, blocks, bits) for p in each]})
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _bands(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield pd.Series([band_keys(shingles(t)) for t in batch])
+    return prints
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -127,14 +115,15 @@ def _block_links(rest: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least: float = LEAST) -> DataFrame:
     """``(doc_id, node, comp, keep_id, keep_node)`` for each distinct pair of id and text: the text's hash, its component, and the pair that stays of it.
 
-    Equal texts are one node. Nodes that share a band's key are proposed in two passes: each with its bucket's head, another node in every bucket, which joins large groups by a few links a node; then all pairs of a bucket that are in different components still, as rows in buckets of few members, block by block in larger ones. Every link is verified, so components are those of all proposed pairs, while pairs inside a component aren't listed. Of a component the row with the smallest id stays (of several with this id, the smallest text hash); rows without an id don't count.
+    Equal texts are one node. A node's fingerprint is the SimHash of its set of shingles, wide enough for a similarity of 0.8; ``wide_groups`` brings those together that share a block and of whose compared bits few differ, and groups are the buckets here. Their nodes are proposed in two passes: each with its bucket's head, another node in every bucket, which joins large groups by a few links a node; then all pairs of a bucket that are in different components still, as rows in buckets of few members, block by block in larger ones. Every link is verified, so components are those of all proposed pairs, while pairs inside a component aren't listed. Of a component the row with the smallest id stays (of several with this id, the smallest text hash); rows without an id don't count.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null").withColumn("node", _node(F.col("text")))
-    rows = written(own.select("doc_id", "node", _bands("text").alias("keys")))
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")))
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("m")).where("n > 1").select("key", F.col("m.node").alias("head"))
-    buckets = written(keyed.join(shared, "key"))
+    n = own.count()
+    blocks, bits = wide_blocks(n)
+    rows = written(own.select("doc_id", "node", _prints(blocks, bits)("text").alias("p")).select("doc_id", "node", "p.*"))
+    prints = [c for c in rows.columns if c not in ("doc_id", "node")]
+    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in prints)))
+    buckets = written(wide_groups(nodes.select("node", *prints), n, blocks))
     members = written(buckets.select("node").distinct())
     sets = written(own.select("node", "text").join(members, "node", "left_semi").dropDuplicates(["node"]).select("node", _shingles("text").alias("set")))
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import combinations, pairwise, repeat
+from math import ceil, log, log1p, log2
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,11 @@ WORDS = 4
 PIVOTS = 16
 SEED = 42
 _CHUNK = 1 << 16
+#: Wide fingerprints: bits that are compared, how many of them may differ, references of a bucket's distance table, members of a tile.
+COMPARED, WIDE_BITS, REFERENCES, TILE = 192, 60, 16, 256
+#: A bit of two sets of similarity 0.8 agrees with this chance at least (sets of 4 and 5; 0.839 for the next, 0.8485 for large ones), and such a pair shares no block with this chance at most.
+AGREE, MISS = 0.8125, 5e-5
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
@@ -123,3 +129,115 @@ def deduplicate(docs: DataFrame, text: str = "text", id_col: str = "doc_id", max
     own = (F.col(id_col).cast("long") == F.col("__keep")) & (F.col("__own") == F.col("__print"))
     with_id = named.join(keep, own, "left_semi").dropDuplicates([id_col, "__own"]).drop("__own")
     return with_id.unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def wide_blocks(n: int) -> tuple[int, int]:
+    """Blocks of a wide fingerprint and the bits of each, for ``n`` texts: a bucket has up to 4,096 by chance, and as many blocks as ``MISS`` asks."""
+    bits = min(20, max(8, ceil(log2(max(n, 1))) - 12))
+    return max(ceil(log(MISS) / log1p(-(AGREE**bits))), ceil(COMPARED / bits)), bits
+
+
+def wide_fingerprint(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The SimHash of distinct shingle hashes in 64-bit words, ``bits`` bits at least. The first word's bits are those of the hashes, each further word's those of another hash of them. The empty set has zero."""
+    words = -(-bits // 64)
+    counts = np.zeros(64 * words, np.int64)
+    for at in range(0, len(hashes), 255):  # so many fit a byte
+        x = hashes[at : at + 255, None] + _STEP * np.arange(words, dtype=np.uint64)
+        for shift, factor in zip((30, 27), _MIX, strict=True):
+            x[:, 1:] = (x[:, 1:] ^ (x[:, 1:] >> np.uint64(shift))) * factor
+        x[:, 1:] ^= x[:, 1:] >> np.uint64(31)
+        counts += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)
+
+
+def block_keys(print_: np.ndarray, blocks: int, bits: int) -> np.ndarray:
+    """A key for each block of a wide fingerprint: its number and its bits."""
+    each = np.unpackbits(print_.view(np.uint8), bitorder="little")[: blocks * bits].reshape(blocks, bits)
+    return (each @ (1 << np.arange(bits)) + (np.arange(blocks) << bits)).astype(np.int32)
+
+
+def _apart(a: np.ndarray, b: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
+    """Hamming distances between columns of two arrays of words; up to 255. ``room`` is used for what is between."""
+    shape = (a.shape[1], b.shape[1])
+    differ = np.empty(shape, np.uint64) if room is None else room[: shape[0] * shape[1]].reshape(shape)
+    out = np.zeros(shape, np.uint8)
+    for x, y in zip(a, b, strict=True):
+        out += np.bitwise_count(np.bitwise_xor(x[:, None], y, out=differ))
+    return out
+
+
+def _joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels, each a place that has itself, after the places ``x`` and ``y`` are joined."""
+    while True:
+        a, b = label[x], label[y]
+        if not (differ := a != b).any():
+            return label
+        to = np.arange(len(label))
+        np.minimum.at(to, np.maximum(a, b)[differ], np.minimum(a, b)[differ])
+        while (to[to] != to).any():
+            to = to[to]
+        label = to[label]
+
+
+def linked(prints: np.ndarray, max_bits: int = WIDE_BITS) -> np.ndarray:
+    """For each column of ``prints``, words by members, the place of a member of its group; groups are those of all pairs that differ in at most ``max_bits`` bits.
+
+    Members far from each other are references, the first and then the farthest from those before, with a table of distances to them. Members near a reference are linked to it. The others are sorted by their nearest reference and the distance to it, and cut into tiles; two tiles are not compared if some reference has them farther apart than ``max_bits``, by their least and greatest distances to it, or if one group has both. Hamming distances decide the rest.
+    """
+    n = prints.shape[1]
+    label, table, at = np.arange(n), np.empty((n, max(1, min(REFERENCES, n // 32))), np.int16), 0
+    for k in range(table.shape[1]):
+        table[:, k] = _apart(prints[:, at : at + 1], prints)[0]
+        near = np.flatnonzero(table[:, k] <= max_bits)
+        label = _joined(label, np.full(len(near), at), near)
+        at = int(table[:, : k + 1].min(1).argmax())
+    cell = table.argmin(1)
+    order = np.lexsort((table[np.arange(n), cell], cell))
+    prints, starts = prints[:, order], np.arange(0, n, TILE)
+    room = np.empty(min(n, TILE) ** 2, np.uint64)
+    low, high = (f.reduceat(table[order], starts, axis=0) for f in (np.minimum, np.maximum))
+    for x in range(len(starts)):
+        gap = np.maximum(low[x] - high[x:], low[x:] - high[x]).max(1)
+        for y in np.flatnonzero(gap <= max_bits) + x:
+            a, b = slice(x * TILE, (x + 1) * TILE), slice(y * TILE, (y + 1) * TILE)
+            both = label[order[a]], label[order[b]]
+            if all((v == both[0][0]).all() for v in both):
+                continue
+            apart = _apart(prints[:, a], prints[:, b], room)
+            if x != y and apart.min() > max_bits:
+                continue
+            i, j = divmod(np.flatnonzero(apart <= max_bits), apart.shape[1])
+            label = _joined(label, order[a][i], order[b][j])
+    return label
+
+
+def _bucket_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The groups of a task's buckets: ``(key, node, head)`` for each member of a group of several."""
+    parts = [b for b in batches if len(b)]
+    if not parts:
+        return
+    key, node, *words = (np.concatenate([b[c].to_numpy() for b in parts]) for c in parts[0].columns)
+    order = np.lexsort((node, key))
+    key, node, prints = key[order].astype(np.uint64), node[order], np.stack(words)[:, order].view(np.uint64)
+    for lo, hi in pairwise([0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]):
+        if hi - lo < 2:
+            continue
+        label = linked(prints[:, lo:hi])
+        inside = np.flatnonzero(np.bincount(label, minlength=hi - lo)[label] > 1)
+        if len(inside):
+            own, group = node[lo:hi][inside], label[inside]
+            salt = key[lo] * _STEP + np.uint64(1)
+            first = np.lexsort(((own.view(np.uint64) ^ salt) * _MIX[0], group))  # another head in each bucket
+            heads = own[first][np.searchsorted(group[first], group)]
+            yield pd.DataFrame({"key": (node[lo:hi][group].view(np.uint64) ^ salt).view(np.int64), "node": own, "head": heads})
+
+
+def wide_groups(prints: DataFrame, n: int, blocks: int) -> DataFrame:
+    """``(key, node, head)``: groups of wide fingerprints that share a block, linked where the compared bits differ in at most ``WIDE_BITS``.
+
+    ``prints`` has a row for each of about ``n`` nodes: node, the words w0, w1, ... that are compared, and the array keys, of ``blocks`` keys. A row here is a node in a group of several, which key names; head is one of its members, another one in each bucket. Rows are dealt by key to tasks of about half a million, where buckets are compared without rows for pairs.
+    """
+    words = [c for c in prints.columns if c not in ("node", "keys")]
+    parts = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * blocks // (1 << 19))
+    keyed = prints.select(F.explode("keys").alias("key"), "node", *words)
+    return keyed.repartition(parts, "key").mapInPandas(_bucket_groups, "key long, node long, head long")
