@@ -197,6 +197,66 @@ def test_wide_simhash(spark, monkeypatch):
     assert all(any({2 * n, 2 * n + 1} <= g for g in together) for n in range(len(rows) // 2))
 
 
+def most_joined(spark, since):
+    """The rows that the largest join of the queries from number ``since`` on made, and the number of the next query."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, most, last = spark._jsparkSession.sharedState().statusStore(), 0, since
+    runs = store.executionsList()
+    for i in (runs.apply(k).executionId() for k in range(runs.size())):
+        if i < since:
+            continue
+        last, nodes, values = max(last, i + 1), store.planGraph(i).allNodes(), store.executionMetrics(i)
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                if "Join" in node.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "").split()[-1]))
+    return most, last
+
+
+def test_near_duplicate_blocks(spark, monkeypatch):
+    """A text's set goes to few tasks, however many buckets it shares with a large group; groups of several blocks, as a whole and bucket by bucket, join what all pairs join."""
+    rng = np.random.default_rng(4)
+    base, rows = [f"w{x}" for x in range(130)], []
+    for n in range(300):  # some of a dense component, some linked in small ones, some near no other
+        other = list(base)
+        for at in rng.integers(0, len(base), n % 3 if n < 100 else n % 16):
+            other[at] = f"n{rng.integers(1000)}"
+        rows.append((n, " ".join(other)))
+    rows = list({t: (i, t) for i, t in rows}.values())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    group = brute_components(rows)
+    want = {frozenset(i for (i, _), g in zip(rows, group, strict=True) if g == k) for k in group}
+    assert max(map(len, want)) > 50 and len(want) > 20
+
+    def parts():
+        of = {}
+        for r in shingles.near_duplicates(docs).collect():
+            of.setdefault(r["comp"], set()).add(r["doc_id"])
+        return {frozenset(x) for x in of.values()}
+
+    _, since = most_joined(spark, 0)
+    assert parts() == want
+    most, since = most_joined(spark, since)
+    assert len(rows) <= most <= 2 * len(rows)
+    for block, large in ((40, 1 << 15), (7, 1 << 15), (20, 20)):
+        monkeypatch.setattr(shingles, "BLOCK", block)
+        monkeypatch.setattr(shingles, "LARGE", large)
+        assert parts() == want
+
+    sets = [shingles.shingles(t) for _, t in rows]
+    comps, sides = np.arange(len(sets)), rng.integers(0, 2, len(sets))
+    for cross in (False, True):
+        for tile in (9, 1 << 10):
+            monkeypatch.setattr(shingles, "_TILE", tile)
+            label = np.arange(len(sets))
+            for x, y in shingles._tiled(comps, sides, sets, cross, 0.8):
+                assert not cross or sides[x] != sides[y]
+                label[label == label[x]] = label[y]
+            found = {tuple(np.flatnonzero(label == k)) for k in label}
+            assert tile == 9 or found == whole
+            whole = found
+
+
 def test_shingle_blocks(monkeypatch):
     """Blocks of sets join what all pairs join, within and across; chunks of shingles change nothing."""
     rng = np.random.default_rng(2)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import pairwise, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,10 @@ from veridge.runtime import written
 
 WORDS, LEAST = 5, 0.8
 SEED = 42
-#: Members up to which a bucket's pairs are rows, members of a block beyond that, and shingles that are compared at a time.
-FEW, BLOCK, _COLUMNS = 32, 128, 1 << 13
+#: Members of a block, hubs of a group beside its first member, and members up to which a group is compared as a whole and not by its buckets.
+BLOCK, HUBS, LARGE = 512, 4, 1 << 15
+#: Sets and shingles that are compared at a time, and shingles that a task has.
+_TILE, _COLUMNS, _TASK = 128, 1 << 13, 1 << 21
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -55,13 +58,6 @@ def _node(text) -> F.Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of ``pairs(src, dst)`` whose shingle sets reach the similarity; two empty sets do."""
-    a, b = sets.select(F.col("node").alias("src"), F.col("set").alias("a")), sets.select(F.col("node").alias("dst"), F.col("set").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    return pairs.join(a, "src").join(b, "dst").where(both >= least * (F.size("a") + F.size("b") - both) - 1e-9).select("src", "dst")
-
-
 def _close(comps: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], cross: bool, least: float) -> list[tuple[int, int]]:
     """Pairs of places of sets that reach the similarity, of different components and, for ``cross``, of different sides; of each row only the first that joins it to one before, for what joins them all."""
     sizes = np.array([len(x) for x in sets])
@@ -73,9 +69,10 @@ def _close(comps: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], cross:
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     common = np.zeros((len(sets), len(sets)), np.float32)
+    wide = min(_COLUMNS, int(column[-1]) + 1) if len(column) else 0
     edges = np.searchsorted(column, np.arange(0, int(column[-1]) + _COLUMNS + 1 if len(column) else 1, _COLUMNS))
     for i, j in zip(edges, edges[1:], strict=False):
-        m = np.zeros((len(sets), _COLUMNS), np.float32)
+        m = np.zeros((len(sets), wide), np.float32)
         m[owner[i:j], column[i:j] % _COLUMNS] = 1
         common += m @ m.T
     good = common >= least * (sizes[:, None] + sizes[None, :] - common) - 1e-6
@@ -97,25 +94,88 @@ def _close(comps: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], cross:
     return out
 
 
-def _block_links(rest: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """``(src, dst)``: links that join what any pairs of a bucket join, for buckets of many members. Members are dealt to blocks of about ``BLOCK``; a task has the sets of two blocks, compares them by the batch, and gives a link at most for each."""
-    k = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rest.withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "node"), k).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), k - 1)))
-    paired = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "comp").join(sets, "node")
+def _tiled(comps: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], cross: bool, least: float) -> list[tuple[int, int]]:
+    """As ``_close``, for any number of sets: by tiles in order of size, but not tiles whose sizes are too far apart."""
+    sizes, comps, out = np.array([len(x) for x in sets]), comps.copy(), []
+    order = np.argsort(sizes, kind="stable")
+    tiles = [order[i : i + _TILE] for i in range(0, len(sets), _TILE)]
+    for i, a in enumerate(tiles):
+        for b in tiles[i:]:
+            if sizes[a[-1]] < least * sizes[b[0]] - 1e-6:
+                break
+            both = a if a is b else np.append(a, b)
+            if (comps[both] == comps[both[0]]).all() or cross and (sides[both] == sides[both[0]]).all():
+                continue
+            for x, y in _close(comps[both], sides[both], [sets[k] for k in both.tolist()], cross, least):
+                x, y = both[x], both[y]
+                comps[comps == comps[x]] = comps[y]
+                out.append((int(x), int(y)))
+    return out
+
+
+def _compared(rows: DataFrame, elements: int, least: float) -> DataFrame:
+    """``(src, dst)``: links that join what the pairs that reach the similarity join, of the rows ``(key, lo, hi, own, node, comp, set)`` that share key, lo and hi; those of different own if lo and hi differ. Sets of a task are about ``_TASK`` of all ``elements``."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts).combine_chunks()
+        key, lo, hi, own, node, comp = (t.column(c).to_numpy() for c in ("key", "lo", "hi", "own", "node", "comp"))
+        held = t.column("set").chunk(0)
+        values, at = held.values.to_numpy(), held.offsets.to_numpy()
+        order = np.lexsort((hi, lo, key))
+        first = np.flatnonzero(np.any([np.diff(x[order]) != 0 for x in (key, lo, hi)], axis=0)) + 1
+        for i, j in pairwise([0, *first.tolist(), len(order)]):
+            if j - i < 2:
+                continue
+            some = order[i:j]
+            found = _tiled(comp[some], own[some], [values[at[k] : at[k + 1]] for k in some.tolist()], lo[some[0]] != hi[some[0]], least)
+            x, y = (node[some[[p[k] for p in found]]] if found else node[:0] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([np.minimum(x, y), np.maximum(x, y)], names=["src", "dst"])
+
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), elements // _TASK)
+    return rows.select("key", "lo", "hi", "own", "node", "comp", "set").repartition(parts, "key", "lo", "hi").mapInArrow(links, "src long, dst long")
+
+
+def _blocks(n) -> F.Column:
+    return F.ceil(n / BLOCK).cast("int")
+
+
+def _place(k) -> F.Column:
+    return F.pmod(F.xxhash64(F.lit("block"), "node"), k).cast("int")
+
+
+def _near(buckets: DataFrame) -> DataFrame:
+    """``(node, key)``: what the links of nodes to their heads reach, by its smallest node. A node is linked to its smallest head, and its other heads to that one, which joins the same by about a link a node."""
+    heads = written(buckets.where("node <> head").groupBy("node").agg(F.min("head").alias("to"), F.collect_set("head").alias("heads")))
+    links = heads.select("node", "to").union(heads.select(F.explode("heads").alias("node"), "to").where("node <> to").distinct())
+    return written(connected_components(links, "node", "to").toDF("node", "key"))
+
+
+def _first_blocks(near: DataFrame) -> DataFrame:
+    """``(node, key, n, blocks)`` for the nodes of groups ``(node, key)``, where a key is its group's smallest node: the size of the group, and the blocks of about ``BLOCK`` members that a node is in. That is one, but hubs are in all, so that what they are near is joined across blocks."""
+    sized = near.join(near.groupBy("key").agg(F.count("*").alias("n")), "key")
+    k = _blocks(F.col("n"))
+    hub = (F.col("node") == F.col("key")) | (F.pmod(F.xxhash64(F.lit("hub"), "node"), F.col("n")) < HUBS)
+    return sized.select("node", "key", "n", F.when(hub, F.sequence(F.lit(0), k - 1)).otherwise(F.array(_place(k))).alias("blocks"))
 
-    def links(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = [np.asarray(x, np.int64) for x in pdf["set"]]
-        node = pdf["node"].to_numpy()
-        found = _close(pdf["comp"].to_numpy(), pdf["own"].to_numpy(), own, key[1] != key[2], least) if len(own) > 1 else []
-        return pd.DataFrame([sorted((int(node[x]), int(node[y]))) for x, y in found], columns=["src", "dst"])
 
-    return paired.groupBy("key", "lo", "hi").applyInPandas(links, "src long, dst long").distinct()
+def _pairs_of_blocks(members: DataFrame) -> DataFrame:
+    """``(key, lo, hi, own, node, comp)``: a row for each pair of blocks that a member ``(key, node, comp)`` meets, in groups of several components. The largest component has blocks of its own, which meet the others but not each other."""
+    parts = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    open_ = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("several")).where("several > 1")
+    of = members.join(open_.select("key", "n", "most.comp", "most.n").toDF("key", "n", "main", "most"), "key")
+    m, k, own = _blocks(F.col("most")), _blocks(F.col("most")) + _blocks(F.col("n") - F.col("most")), F.col("comp") == F.col("main")
+    dealt = of.withColumn("own", F.when(own, _place(m)).otherwise(m + _place(k - m)))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.when(own, m).otherwise(F.lit(0)), k - 1)))
+    return met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "comp")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least: float = LEAST) -> DataFrame:
     """``(doc_id, node, comp, keep_id, keep_node)`` for each distinct pair of id and text: the text's hash, its component, and the pair that stays of it.
 
-    Equal texts are one node. A node's fingerprint is the SimHash of its set of shingles, wide enough for a similarity of 0.8; ``wide_groups`` brings those together that share a block and of whose compared bits few differ, and groups are the buckets here. Their nodes are proposed in two passes: each with its bucket's head, another node in every bucket, which joins large groups by a few links a node; then all pairs of a bucket that are in different components still, as rows in buckets of few members, block by block in larger ones. Every link is verified, so components are those of all proposed pairs, while pairs inside a component aren't listed. Of a component the row with the smallest id stays (of several with this id, the smallest text hash); rows without an id don't count.
+    Equal texts are one node. A node's fingerprint is the SimHash of its set of shingles, wide enough for a similarity of 0.8; ``wide_groups`` brings those together that share a block and of whose compared bits few differ. What these links reach is a group. Sets are compared in tasks that have a block of a group or two: first each block with the group's hubs, where each set goes once and large components become whole; then, in groups of several blocks, every pair of blocks, so that members of different components meet. Groups beyond ``LARGE`` do this bucket by bucket. Every link is verified, so components are those of all proposed pairs at least, while pairs inside a component aren't listed. Of a component the row with the smallest id stays (of several with this id, the smallest text hash); rows without an id don't count.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null").withColumn("node", _node(F.col("text")))
     n = own.count()
@@ -124,22 +184,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     prints = [c for c in rows.columns if c not in ("doc_id", "node")]
     nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in prints)))
     buckets = written(wide_groups(nodes.select("node", *prints), n, blocks))
-    members = written(buckets.select("node").distinct())
-    sets = written(own.select("node", "text").join(members, "node", "left_semi").dropDuplicates(["node"]).select("node", _shingles("text").alias("set")))
+    dealt = written(_first_blocks(_near(buckets)))
+    # The texts meet by a merge at any size: a plan that changes with the table's size would change its share of disk.
+    sets = written(own.select("node", "text").join(dealt.hint("merge"), "node").dropDuplicates(["node"]).select("node", "key", "n", "blocks", _shingles("text").alias("set")).withColumn("size", F.size("set")))
 
-    star = written(buckets.where("node <> head").select(F.least("node", "head").alias("src"), F.greatest("node", "head").alias("dst")).distinct())
-    links = written(_verified(star, sets, least))
+    every = sets.agg(F.sum(F.col("size") * F.size("blocks")), F.avg("size"), F.max("n")).first()
+    lo = sets.select("key", F.explode("blocks").alias("lo"), "node", "set")
+    links = written(_compared(lo.select("*", F.col("lo").alias("hi"), F.col("lo").alias("own"), F.col("node").alias("comp")), every[0] or 0, least))
     comps = _named(nodes.select("node"), links)
 
-    left = written(buckets.join(comps, "node").select("key", "node", "comp"))
-    open_keys = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
-    rest = written(left.join(open_keys, "key"))
-    few = rest.where(F.col("n") <= FEW)
-    a, b = few.alias("a"), few.alias("b")
-    across = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.comp") != F.col("b.comp"))
-    pairs = a.join(b, across).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).distinct().join(star, ["src", "dst"], "left_anti")
-    more = written(_verified(written(pairs), sets, least).union(_block_links(rest.where(F.col("n") > FEW), sets, least)))
-    comps = _named(nodes.select("node"), links.union(more))
+    if (every[2] or 0) > BLOCK:
+        whole = dealt.where((F.col("n") > BLOCK) & (F.col("n") <= LARGE)).select("key", "node")
+        by_bucket = buckets.select("key", "node").join(dealt.where(F.col("n") > LARGE).select("node"), "node").select("key", "node")
+        pairs = written(_pairs_of_blocks(written(whole.union(by_bucket).join(comps, "node"))))
+        more = written(_compared(pairs.join(sets.select("node", "set"), "node"), int(pairs.count() * every[1]), least))
+        comps = _named(nodes.select("node"), links.union(more))
 
     best = written(nodes.join(comps, "node").groupBy("comp").agg(F.min(F.struct("least", "node")).alias("m")).select("comp", F.col("m.least").alias("keep_id"), F.col("m.node").alias("keep_node")))
     return rows.select("doc_id", "node").distinct().join(comps, "node").join(best, "comp").select("doc_id", "node", "comp", "keep_id", "keep_node")

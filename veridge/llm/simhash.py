@@ -227,7 +227,7 @@ def _bucket_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(inside):
             own, group = node[lo:hi][inside], label[inside]
             salt = key[lo] * _STEP + np.uint64(1)
-            first = np.lexsort(((own.view(np.uint64) ^ salt) * _MIX[0], group))  # another head in each bucket
+            first = np.lexsort((own, group))  # the smallest: buckets with much in common have few heads
             heads = own[first][np.searchsorted(group[first], group)]
             yield pd.DataFrame({"key": (node[lo:hi][group].view(np.uint64) ^ salt).view(np.int64), "node": own, "head": heads})
 
@@ -235,7 +235,7 @@ def _bucket_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def wide_groups(prints: DataFrame, n: int, blocks: int) -> DataFrame:
     """``(key, node, head)``: groups of wide fingerprints that share a block, linked where the compared bits differ in at most ``WIDE_BITS``.
 
-    ``prints`` has a row for each of about ``n`` nodes: node, the words w0, w1, ... that are compared, and the array keys, of ``blocks`` keys. A row here is a node in a group of several, which key names; head is one of its members, another one in each bucket. Rows are dealt by key to tasks of about half a million, where buckets are compared without rows for pairs.
+    ``prints`` has a row for each of about ``n`` nodes: node, the words w0, w1, ... that are compared, and the array keys, of ``blocks`` keys. A row here is a node in a group of several, which key names; head is its smallest member, so that nodes that share many buckets have few links to heads. Rows are dealt by key to tasks of about half a million, where buckets are compared without rows for pairs.
     """
     words = [c for c in prints.columns if c not in ("node", "keys")]
     parts = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * blocks // (1 << 19))
