@@ -161,15 +161,13 @@ def _first_blocks(near: DataFrame) -> DataFrame:
     return sized.select("node", "key", "n", F.when(hub, F.sequence(F.lit(0), k - 1)).otherwise(F.array(_place(k))).alias("blocks"))
 
 
-def _pairs_of_blocks(members: DataFrame) -> DataFrame:
-    """``(key, lo, hi, own, node, comp)``: a row for each pair of blocks that a member ``(key, node, comp)`` meets, in groups of several components. The largest component has blocks of its own, which meet the others but not each other."""
+def _later_blocks(members: DataFrame) -> DataFrame:
+    """``(key, own, first, last, node, comp)`` for the members ``(key, node, comp)`` of groups of several components: a member's block, and the range of blocks that it meets. The largest component has blocks of its own, which meet the others but not each other."""
     parts = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
     open_ = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("several")).where("several > 1")
     of = members.join(open_.select("key", "n", "most.comp", "most.n").toDF("key", "n", "main", "most"), "key")
     m, k, own = _blocks(F.col("most")), _blocks(F.col("most")) + _blocks(F.col("n") - F.col("most")), F.col("comp") == F.col("main")
-    dealt = of.withColumn("own", F.when(own, _place(m)).otherwise(m + _place(k - m)))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.when(own, m).otherwise(F.lit(0)), k - 1)))
-    return met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "comp")
+    return of.select("key", F.when(own, _place(m)).otherwise(m + _place(k - m)).alias("own"), F.when(own, m).otherwise(F.lit(0)).alias("first"), (k - 1).alias("last"), "node", "comp")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least: float = LEAST) -> DataFrame:
@@ -196,8 +194,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     if (every[2] or 0) > BLOCK:
         whole = dealt.where((F.col("n") > BLOCK) & (F.col("n") <= LARGE)).select("key", "node")
         by_bucket = buckets.select("key", "node").join(dealt.where(F.col("n") > LARGE).select("node"), "node").select("key", "node")
-        pairs = written(_pairs_of_blocks(written(whole.union(by_bucket).join(comps, "node"))))
-        more = written(_compared(pairs.join(sets.select("node", "set"), "node"), int(pairs.count() * every[1]), least))
+        later = written(_later_blocks(written(whole.union(by_bucket).join(comps, "node"))))
+        copies = later.agg(F.sum(F.col("last") - F.col("first") + 1)).first()[0] or 0
+        # Rows for pairs of blocks are made after the join, whose side may be broadcast.
+        met = later.join(sets.select("node", "set"), "node").withColumn("other", F.explode(F.sequence("first", "last")))
+        more = written(_compared(met.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")), int(copies * every[1]), least))
         comps = _named(nodes.select("node"), links.union(more))
 
     best = written(nodes.join(comps, "node").groupBy("comp").agg(F.min(F.struct("least", "node")).alias("m")).select("comp", F.col("m.least").alias("keep_id"), F.col("m.node").alias("keep_node")))
