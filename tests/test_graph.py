@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from veridge.graph import Graph
 from veridge.operators import cliques, edgemap as em, reducers as red, structure as sg, traversal as tr
+from veridge.runtime import written
 from veridge.sources import formats
 
 PATH5 = [(0, 1), (1, 2), (2, 3), (3, 4)]
@@ -182,3 +183,29 @@ def test_written_formats(spark, tmp_path):
     assert [r["value"] for r in formats.read_property(spark, path("p")).orderBy("id").collect()] == [1.5, -1.0, 0.5]
     (tmp_path / "f").write_text("1:2,3\n2:private\n4:notfound\n3:1\n")
     assert {tuple(r) for r in formats.read_friendster(spark, path("f")).edges.collect()} == {(1, 2), (1, 3), (3, 1)}
+
+
+def plain_pagerank(edges, n, rounds, d=0.85):
+    deg, pr = np.bincount([a for a, _ in edges], minlength=n), np.full(n, 1 / n)
+    for _ in range(rounds):
+        y = np.zeros(n)
+        for a, b in edges:
+            y[b] += d * pr[a] / deg[a]
+        pr = y + (1 - y.sum()) / n
+    return pr
+
+
+def test_pagerank_reads_edges_of_roots_once(spark, monkeypatch):
+    """Vertices without in-edges share a rank, so their edges aren't joined every round; others' are."""
+    plans = []
+    monkeypatch.setattr(tr, "written", lambda df, **k: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or written(df, **k))
+    roots = [(0, 3), (0, 4), (1, 4), (2, 3), (2, 4), (2, 5)]
+    for edges, joins in ((roots, False), ([*roots, (4, 3), (3, 3), (5, 0)], True), ([(0, 1), (1, 2), (2, 0), (2, 1)], True)):
+        g = make(spark, edges, 7, symmetric=False)
+        few, many = [], []
+        for rounds, into in ((2, few), (5, many)):
+            plans.clear()
+            assert column(tr.pagerank(g, rounds, -1), "pr") == pytest.approx(plain_pagerank(edges, 7, rounds), abs=1e-15)
+            into.extend("Join" in p for p in plans)
+        assert sum(many) - sum(few) == (3 if joins else 0)
+    assert column(tr.pagerank(make(spark, roots, 7, symmetric=False), 5, -1, start=spark.createDataFrame([(0, 1.0)], "id long, pr double")), "pr")[6] > 0

@@ -1,6 +1,6 @@
 """Traversal and ranking: breadth-first search, shortest paths, PageRank and its kin, betweenness, beliefs, radii.
 
-Every loop writes its state once a round and asks for convergence in one small aggregate of what it wrote. State is one row a vertex; edges are never copied.
+Every loop writes its state once a round and asks for convergence in one small aggregate of what it wrote. State is one row a vertex; edges are copied by PageRank only, without those that it needs once.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridge.graph import Graph
-from veridge.runtime import written
+from veridge.runtime import drop_written, written
 
 DAMPING = 0.85
 
@@ -60,30 +60,54 @@ def _with_degree(graph: Graph) -> DataFrame:
     return graph.vertices.select("id").join(deg, "id", "left").select("id", F.coalesce("deg", F.lit(0)).alias("deg"))
 
 
+def _roots_apart(edges: DataFrame, base: DataFrame, damping: float) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    """The edges of vertices that have in-edges, None if there are none; ``base`` (id, deg) with ``w``; and the table that it reads.
+
+    Vertices without in-edges have one rank between them in every round, the even share. ``w`` times it is what they send to a vertex.
+    """
+    fed = written(edges.select(F.col("dst").alias("id")).distinct())
+    base = written(base.join(fed.withColumn("fed", F.lit(True)), "id", "left").select("id", "deg", F.coalesce("fed", F.lit(False)).alias("fed")))
+    sends = base.where("deg > 0")
+    roots = sends.where("not fed").select(F.col("id").alias("src"), (damping / F.col("deg")).alias("c"))
+    drop_written(fed)
+    if not roots.take(1):
+        return edges, base.select("id", "deg", F.lit(0.0).alias("w")), base
+    w = edges.join(roots, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("c").alias("w"))
+    inner = sends.where("fed").select(F.col("id").alias("src"))
+    rest = written(edges.join(inner, "src", "left_semi").select("src", "dst")) if inner.take(1) else None
+    return rest, base.join(w, "id", "left").select("id", "deg", F.coalesce("w", F.lit(0.0)).alias("w")), base
+
+
 def pagerank(graph: Graph, rounds: int = 100, tolerance: float = 1e-7, damping: float = DAMPING, quantise: Callable[[Column], Column] | list | None = None, start: DataFrame | None = None) -> DataFrame:
     """``(id, pr)``: ranks that sum to one. What sinks and teleporting take is shared evenly each round.
 
     Stops after ``rounds``, or when the sum of changes is at most ``tolerance``; a negative tolerance gives exactly ``rounds``. ``quantise`` is put on contributions, for reduced precision; several precisions in stages are a list of (first round, function), the first from round 0. ``start`` (id, pr) replaces the even start.
+
+    Without either, edges of vertices without in-edges are read once, before the first round.
     """
     base = _with_degree(graph)
     n = graph.vertices.count()
     if not n:
         return base.select("id", F.lit(None).cast("double").alias("pr"))
+    edges, base, same = _roots_apart(graph.edges, base, damping) if start is None and quantise is None else (graph.edges, base.withColumn("w", F.lit(0.0)), None)
     first = base.withColumn("pr", F.lit(1.0 / n)) if start is None else base.join(start, "id", "left").fillna(0.0, ["pr"])
-    state = held = written(first)
+    state = held = written(first, instead_of=same)
+    even = 1.0 / n
     stages = quantise if isinstance(quantise, (list, tuple)) else [(0, quantise or (lambda c: c))]
     for k in range(rounds):
         q = [f for since, f in stages if since <= k][-1]
-        out = state.where("deg > 0").select(F.col("id").alias("src"), q(damping * F.col("pr") / F.col("deg")).alias("c"))
-        y = graph.edges.join(out, "src").groupBy("dst").agg(F.sum("c").alias("y")).withColumnRenamed("dst", "id")
-        raw = held = written(state.join(y, "id", "left").select("id", "deg", F.col("pr").alias("old"), F.coalesce("y", F.lit(0.0)).alias("y")), instead_of=held)
+        got = state.withColumn("y", F.lit(0.0))
+        if edges is not None:
+            out = state.where("deg > 0").select(F.col("id").alias("src"), q(damping * F.col("pr") / F.col("deg")).alias("c"))
+            got = state.join(edges.join(out, "src").groupBy("dst").agg(F.sum("c").alias("y")).withColumnRenamed("dst", "id"), "id", "left")
+        raw = held = written(got.select("id", "deg", "w", F.col("pr").alias("old"), (F.coalesce("y", F.lit(0.0)) + F.col("w") * even).alias("y")), instead_of=held)
         total = raw.agg(F.sum("y")).first()[0]
         even = (1 - total) / n
-        state = raw.select("id", "deg", (F.col("y") + even).alias("pr"), "old")
+        state = raw.select("id", "deg", "w", (F.col("y") + even).alias("pr"), "old")
         # with an even share of what is missing the sum is one again, but for rounding
         if tolerance >= 0 and state.agg(F.sum(F.abs(F.col("pr") - F.col("old")))).first()[0] <= tolerance:
             break
-        state = state.select("id", "deg", "pr")
+        state = state.select("id", "deg", "w", "pr")
     return state.select("id", "pr")
 
 
