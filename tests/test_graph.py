@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from veridge import runtime
 from veridge.graph import Graph
 from veridge.operators import cliques, edgemap as em, reducers as red, structure as sg, traversal as tr
 from veridge.runtime import written
@@ -209,3 +210,18 @@ def test_pagerank_reads_edges_of_roots_once(spark, monkeypatch):
             into.extend("Join" in p for p in plans)
         assert sum(many) - sum(few) == (3 if joins else 0)
     assert column(tr.pagerank(make(spark, roots, 7, symmetric=False), 5, -1, start=spark.createDataFrame([(0, 1.0)], "id long, pr double")), "pr")[6] > 0
+
+
+def test_symmetrise_is_dealt_by_rows(spark, monkeypatch):
+    """Tasks of a dealt shuffle grow in number, not in size; nothing is gathered in a task before it, and the directions are made after it."""
+    monkeypatch.setattr(runtime, "TASK_ROWS", 10)
+    rows = [(a % 17, a * 7 % 23) for a in range(400)] + [(None, 5), (5, None), (None, None), (3, 3)]
+    e = spark.createDataFrame(rows, "src long, dst long")
+    out = Graph(spark.range(23).toDF("id"), e, rows=404).symmetrise()
+    got = [tuple(r) for r in out.edges.collect()]
+    assert len(got) == len(set(got)) and set(got) == {*rows, *((b, a) for a, b in rows)}
+    plan = out.edges._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    above, *below = plan.split("Exchange hashpartitioning")
+    assert "Aggregate" in above and len(below) == 1 and "41), REPARTITION_BY_NUM" in below[0] and "Aggregate" not in below[0] and "Union" not in plan
+    w = Graph(out.vertices, spark.createDataFrame([(0, 1, 4.0), (1, 0, 3.0), (2, 2, 1.0)], "src long, dst long, weight double")).symmetrise()
+    assert {tuple(r) for r in w.edges.collect()} == {(0, 1, 3.0), (1, 0, 3.0), (2, 2, 1.0)}

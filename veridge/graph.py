@@ -7,22 +7,23 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridge.runtime import ranked, written
+from veridge.runtime import dealt, ranked, written
 
 
 @dataclass
 class Graph:
-    """``vertices`` (id, ...) with every vertex, isolated ones too, and ``edges`` (src, dst[, weight])."""
+    """``vertices`` (id, ...) with every vertex, isolated ones too, and ``edges`` (src, dst[, weight]). ``rows``: how many edge rows there are at most, if known; a lazy graph's shuffles are dealt by it."""
 
     vertices: DataFrame
     edges: DataFrame
     symmetric: bool = False
+    rows: int = 0
 
     @classmethod
-    def of_edges(cls, edges: DataFrame, vertices: DataFrame | None = None, symmetric: bool = False) -> Graph:
+    def of_edges(cls, edges: DataFrame, vertices: DataFrame | None = None, symmetric: bool = False, rows: int = 0) -> Graph:
         """A graph of ``edges``; without ``vertices``, those are the endpoints."""
         ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-        return cls(ends if vertices is None else vertices, edges, symmetric)
+        return cls(ends if vertices is None else vertices, edges, symmetric, rows)
 
     def saved(self) -> Graph:
         """The graph with both tables written, for iteration."""
@@ -34,14 +35,15 @@ class Graph:
 
     def symmetrise(self) -> Graph:
         """Every edge in both directions, once; of weights the smaller."""
-        both = self.edges.union(self.transpose().edges.select(*self.edges.columns))
-        return Graph(self.vertices, _merged(both), True)
+        back = F.coalesce(F.col("dst") < F.col("src"), F.col("dst").isNull() & F.col("src").isNotNull())
+        ends = {"src": F.when(back, F.col("dst")).otherwise(F.col("src")), "dst": F.when(back, F.col("src")).otherwise(F.col("dst"))}
+        return Graph(self.vertices, both_ways(_merged(self.edges.withColumns(ends), self.rows)), True, 2 * self.rows)
 
     def without_self_edges(self) -> Graph:
         return Graph(self.vertices, self.edges.where("src <> dst"), self.symmetric)
 
     def without_duplicates(self) -> Graph:
-        return Graph(self.vertices, _merged(self.edges), self.symmetric)
+        return Graph(self.vertices, _merged(self.edges, self.rows), self.symmetric, self.rows)
 
     def without_isolated(self) -> Graph:
         """Without vertices that have neither in- nor out-edges."""
@@ -153,7 +155,14 @@ def generated_weight(src: Column, dst: Column) -> Column:
     return F.lit(64) + (src + dst).bitwiseAND(F.lit(127))
 
 
-def _merged(edges: DataFrame) -> DataFrame:
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Each row of ``edges`` (src, dst, ...) and its reverse, but a self-edge once."""
+    rest = [c for c in edges.columns if c not in ("src", "dst")]
+    there, back = F.struct("src", "dst", *rest), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest)
+    return edges.select(F.inline(F.when(F.col("src").eqNullSafe(F.col("dst")), F.array(there)).otherwise(F.array(there, back))))
+
+
+def _merged(edges: DataFrame, rows: int = 0) -> DataFrame:
     if "weight" in edges.columns:
-        return edges.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
-    return edges.select("src", "dst").distinct()
+        return dealt(edges, rows, "src", "dst").groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    return dealt(edges.select("src", "dst"), rows, "src", "dst").distinct()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from veridge.functions import scalar
 from veridge.graph import Graph
 from veridge.operators import cliques, edgemap as em, hoeffding as ho, reducers as red, statistics as st, structure as sg, traversal as tr
-from veridge.runtime import ranked, shared_dir, table, written
+from veridge.runtime import dealt, ranked, shared_dir, table, written
 from veridge.sources import formats as fm
 
 BASE = 1_000_000_000
@@ -38,11 +38,14 @@ def _transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph(spark: SparkSession, sf_dir: str, name: str, saved: bool = True) -> Graph:
     """A graph of the driver's tables; ``saved`` writes it, for queries that read it more than once or twice."""
+    rows = 0
     if name == "purchase":
         o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
         edges = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), (F.col("l_partkey") + BASE).alias("dst")).distinct()
     elif name == "supply":
-        edges = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + BASE).alias("dst")).distinct()
+        li = table(spark, sf_dir, "lineitem")
+        rows = li.count()
+        edges = dealt(li.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + BASE).alias("dst")), rows, "src", "dst").distinct()
     elif name == "copurchase":
         edges = _copurchases(spark, sf_dir).select("src", "dst").distinct()
     elif name == "copurchase2":
@@ -50,7 +53,7 @@ def graph(spark: SparkSession, sf_dir: str, name: str, saved: bool = True) -> Gr
     else:
         edges = _transitions(spark, sf_dir)
     if not saved:
-        return Graph.of_edges(edges, symmetric=name.startswith("copurchase"))
+        return Graph.of_edges(edges, symmetric=name.startswith("copurchase"), rows=rows)
     edges = written(edges)
     return Graph(written(Graph.of_edges(edges).vertices), edges, name.startswith("copurchase"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,6 +48,19 @@ def drop_written(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of a task of a dealt shuffle: a larger table gives more tasks, not larger ones.
+TASK_ROWS = 1 << 19
+
+
+def dealt(df: DataFrame, rows: int, *keys: Column | str) -> DataFrame:
+    """``df``, of about ``rows`` rows, shuffled by ``keys`` before they are grouped or joined, in tasks of about ``TASK_ROWS`` rows.
+
+    Adaptive execution merges partitions up to a size in bytes, of which rows with few repeats make several times as much in a hash table, and they make another before the shuffle. Tables too small for more tasks than there are cores are left to it.
+    """
+    n = -(-rows // TASK_ROWS)
+    return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
