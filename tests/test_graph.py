@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from veridge import runtime
 from veridge.graph import Graph
 from veridge.operators import cliques, edgemap as em, reducers as red, structure as sg, traversal as tr
+from veridge.plans import registry
 from veridge.runtime import written
 from veridge.sources import formats
 
@@ -225,3 +226,24 @@ def test_symmetrise_is_dealt_by_rows(spark, monkeypatch):
     assert "Aggregate" in above and len(below) == 1 and "41), REPARTITION_BY_NUM" in below[0] and "Aggregate" not in below[0] and "Union" not in plan
     w = Graph(out.vertices, spark.createDataFrame([(0, 1, 4.0), (1, 0, 3.0), (2, 2, 1.0)], "src long, dst long, weight double")).symmetrise()
     assert {tuple(r) for r in w.edges.collect()} == {(0, 1, 3.0), (1, 0, 3.0), (2, 2, 1.0)}
+
+
+def test_copurchases_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    """Pairs go to tasks of about TASK_ROWS before they are grouped, each once; directions are made after that."""
+    rows = [(i % 40, (i * i + i // 7) % 29) for i in range(300)] + [(3, None), (None, 3), (None, 4), (5, 5), (5, 5)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    met = {}
+    for o, p in {r for r in rows if None not in r}:
+        for q in {q for x, q in rows if x == o and q is not None and q != p}:
+            met[p, q] = met.get((p, q), 0) + 1
+    for task_rows in (1 << 19, 20):
+        monkeypatch.setattr(runtime, "TASK_ROWS", task_rows)
+        for name, least in (("copurchase", 1), ("copurchase2", 2)):
+            g = registry.graph(spark, f"file://{tmp_path}", name, saved=False)
+            got = [tuple(r) for r in g.edges.collect()]
+            want = {k for k, n in met.items() if n >= least}
+            assert len(got) == len(set(got)) and set(got) == want
+            assert sorted(r["id"] for r in g.vertices.collect()) == sorted({a for a, _ in want})
+            if task_rows == 20:
+                by_pair = g.edges._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].split("Exchange hashpartitioning(src")
+                assert "REPARTITION_BY_NUM" in by_pair[1] and "Aggregate" in by_pair[0] and "Aggregate" not in by_pair[1].split("SortMergeJoin")[0].split("BroadcastHashJoin")[0]

@@ -22,7 +22,8 @@ class Graph:
     @classmethod
     def of_edges(cls, edges: DataFrame, vertices: DataFrame | None = None, symmetric: bool = False, rows: int = 0) -> Graph:
         """A graph of ``edges``; without ``vertices``, those are the endpoints."""
-        ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+        ends = edges.select(F.col("src").alias("id"))
+        ends = (ends if symmetric else ends.union(edges.select("dst"))).distinct()
         return cls(ends if vertices is None else vertices, edges, symmetric, rows)
 
     def saved(self) -> Graph:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridge.functions import scalar
-from veridge.graph import Graph
+from veridge.graph import Graph, both_ways
 from veridge.operators import cliques, edgemap as em, hoeffding as ho, reducers as red, statistics as st, structure as sg, traversal as tr
 from veridge.runtime import dealt, ranked, shared_dir, table, written
 from veridge.sources import formats as fm
@@ -26,8 +26,12 @@ SQL_GRAPHS = {
 
 
 def _copurchases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    return own.select("l_orderkey", F.col("l_partkey").alias("src")).join(own.select("l_orderkey", F.col("l_partkey").alias("dst")), "l_orderkey").where("src <> dst")
+    """(src, dst) of each order's pairs of parts, src < dst, dealt by pair. Their number is foretold by the orders' average of lines."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    n, orders = lines.agg(F.count("*"), F.approx_count_distinct("l_orderkey")).first()
+    own = dealt(lines, n, "l_orderkey").distinct()
+    pairs = own.withColumnRenamed("l_partkey", "src").join(own.withColumnRenamed("l_partkey", "dst"), "l_orderkey").where("src < dst").select("src", "dst")
+    return dealt(pairs, n * n // (2 * max(orders, 1)), "src", "dst")
 
 
 def _transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,15 +51,15 @@ def graph(spark: SparkSession, sf_dir: str, name: str, saved: bool = True) -> Gr
         rows = li.count()
         edges = dealt(li.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + BASE).alias("dst")), rows, "src", "dst").distinct()
     elif name == "copurchase":
-        edges = _copurchases(spark, sf_dir).select("src", "dst").distinct()
+        edges = both_ways(_copurchases(spark, sf_dir).distinct())
     elif name == "copurchase2":
-        edges = _copurchases(spark, sf_dir).groupBy("src", "dst").agg(F.count("*").alias("k")).where("k >= 2").select("src", "dst")
+        edges = both_ways(_copurchases(spark, sf_dir).groupBy("src", "dst").agg(F.count("*").alias("k")).where("k >= 2").select("src", "dst"))
     else:
         edges = _transitions(spark, sf_dir)
     if not saved:
         return Graph.of_edges(edges, symmetric=name.startswith("copurchase"), rows=rows)
     edges = written(edges)
-    return Graph(written(Graph.of_edges(edges).vertices), edges, name.startswith("copurchase"))
+    return Graph(written(Graph.of_edges(edges, symmetric=name.startswith("copurchase")).vertices), edges, name.startswith("copurchase"))
 
 
 _Q: dict[str, Callable] = {}
