@@ -247,3 +247,19 @@ def test_copurchases_are_dealt_by_rows(spark, tmp_path, monkeypatch):
             if task_rows == 20:
                 by_pair = g.edges._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].split("Exchange hashpartitioning(src")
                 assert "REPARTITION_BY_NUM" in by_pair[1] and "Aggregate" in by_pair[0] and "Aggregate" not in by_pair[1].split("SortMergeJoin")[0].split("BroadcastHashJoin")[0]
+
+
+def test_bfs_check_counts(spark):
+    """Counts of violations in wrong trees, and one join of edges."""
+    edges = [(0, 1), (1, 2), (2, 3), (3, 4), (0, 2), (5, 6)]
+    g = make(spark, edges, 7)
+    level, parent = [0, 1, 3, 3, None, None, 1], [0, 0, 1, 2, None, None, 3]
+    tree = spark.createDataFrame([(i, level[i], parent[i]) for i in range(7)], "id long, level long, parent long")
+    both = [*edges, *((b, a) for a, b in edges)]
+    skips = sum(level[a] is not None and (level[b] is None or level[b] > level[a] + 1) for a, b in both)
+    bad = sum((level[i] or 0) > 0 and (level[parent[i]] is None or level[parent[i]] != level[i] - 1) for i in range(7))
+    found = sg.check_bfs(g, tree)
+    assert tuple(found.first()) == (7, skips, bad) and skips and bad
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 2 and "Aggregate [dst" in plan
+    assert tuple(sg.check_bfs(g, tr.bfs(g)).first()) == (7, 0, 0)

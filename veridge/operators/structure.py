@@ -197,7 +197,11 @@ def check_colouring(graph: Graph, colours: DataFrame) -> DataFrame:
 
 
 def check_bfs(graph: Graph, tree: DataFrame) -> DataFrame:
-    a, b = tree.select(F.col("id").alias("src"), F.col("level").alias("a")), tree.select(F.col("id").alias("dst"), F.col("level").alias("b"))
-    e = graph.edges.join(a, "src").join(b, "dst").agg(F.count(F.when(F.col("a").isNotNull() & (F.col("b").isNull() | (F.col("b") > F.col("a") + 1)), 1)).alias("n_skipping"))
+    """``(n, n_skipping, n_bad_parent)``. Only edges of reached vertices are joined, and counted by destination and level before they meet the destination's level."""
+    tree = written(tree)
+    reached = written(tree.where("level is not null").select(F.col("id").alias("src"), F.col("level").alias("a")))
+    out = graph.edges.join(reached, "src").groupBy(F.col("dst").alias("id"), "a").agg(F.count("*").alias("k"))
+    skips = F.when(F.col("level").isNull() | (F.col("level") > F.col("a") + 1), F.col("k"))
+    e = out.join(tree.select("id", "level"), "id").agg(F.coalesce(F.sum(skips), F.lit(0)).alias("n_skipping"))
     up = tree.where("level > 0").join(tree.select(F.col("id").alias("parent"), F.col("level").alias("pl")), "parent", "left").agg(F.count(F.when(F.col("pl").isNull() | (F.col("pl") != F.col("level") - 1), 1)).alias("n_bad_parent"))
     return tree.agg(F.count("*").alias("n")).crossJoin(e).crossJoin(up)
