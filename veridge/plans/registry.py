@@ -45,7 +45,10 @@ def graph(spark: SparkSession, sf_dir: str, name: str, saved: bool = True) -> Gr
     rows = 0
     if name == "purchase":
         o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-        edges = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), (F.col("l_partkey") + BASE).alias("dst")).distinct()
+        rows = li.count()
+        both = rows + o.count()
+        bought = dealt(o.select("o_orderkey", "o_custkey"), both, "o_orderkey").join(dealt(li.select("l_orderkey", "l_partkey"), both, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+        edges = dealt(bought.select(F.col("o_custkey").alias("src"), (F.col("l_partkey") + BASE).alias("dst")), rows, "src", "dst").distinct()
     elif name == "supply":
         li = table(spark, sf_dir, "lineitem")
         rows = li.count()
@@ -104,7 +107,8 @@ _query("graph_differs", "transition", "WITH p AS (SELECT src, dst FROM e WHERE s
 
 @_query("graph_dedup", sql="SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem")
 def _dedup(spark, sf_dir):
-    return Graph.of_edges(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))).without_duplicates().edges
+    li = table(spark, sf_dir, "lineitem")
+    return Graph.of_edges(li.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")), rows=li.count()).without_duplicates().edges
 
 
 def _by_year(spark, sf_dir) -> tuple[Graph, Graph]:
